@@ -27,9 +27,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 #: Characters in a leaf; a pair cache is emptied at this many entries.
 LEAF, CACHE = 2048, 200_000
@@ -218,13 +220,33 @@ def decode(df: DataFrame, ranks_path: str, pattern: str, ids: str = "token_ids",
     return df.withColumn(output, bytes_of(F.col(ids)))
 
 
+def round_trip(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "token_ids", output: str = "decoded") -> DataFrame:
+    """``decode(encode(df))`` in one Python stage that works in lots of 256 texts, so few texts are in memory at once."""
+    data = df.sparkSession.sparkContext.broadcast(open(ranks_path, "rb").read())
+    key = hash((ranks_path, pattern, LEAF))
+    rest = [c for c in df.columns if c not in (ids, output)]
+    at = rest.index(text)
+    schema = StructType([*df.select(*rest).schema.fields, StructField(ids, BinaryType()), StructField(output, BinaryType())])
+
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = _encoder(key, data, pattern, LEAF)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                some = batch.slice(lo, 256)
+                tokens = [encoder.encode(x.as_py() or "") for x in some.column(at)]
+                packed = pa.array([np.asarray(x, dtype="<u4").tobytes() for x in tokens], pa.binary())
+                back = pa.array([encoder.decode(np.frombuffer(x.as_buffer(), dtype="<u4").tolist()) for x in packed], pa.binary())
+                yield pa.RecordBatch.from_arrays([*some.columns, packed, back], [*rest, ids, output])
+
+    return df.select(*rest).mapInArrow(both, schema)
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    ids = encode(docs, path, pattern).drop("text")
-    return decode(ids, path, pattern).select(
+    return round_trip(docs, path, pattern).select(
         "doc_id",
         (F.length("token_ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("token_ids", 256).alias("ids_sha256"),
