@@ -16,7 +16,7 @@ from simstrata.llm.common import shared_dir
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Texts whose best language gets less than this share are rejected (with four languages a guess gets 0.25).
-MIN_SCORE = 0.5
+MIN_SCORE = 0.3
 
 #: Trained models and similarity verification have no counterpart in SQL.
 ORACLE_SQL = None

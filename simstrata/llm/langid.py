@@ -5,7 +5,7 @@ log-probabilities (one per language) is that of its word if the word is known; e
 are looked up, and each stretch of the word that no known n-gram of that order covers is tried with the next shorter
 order, each step down costing ``BACKOFF``. Vectors add up over the tokens of a text.
 
-``fit`` learns from at most ``max_docs`` labelled texts, the first by a hash of id and text, and keeps at most
+``fit`` learns from about ``max_docs`` labelled texts, drawn by a hash of text and language, and keeps at most
 ``max_words`` words and ``max_grams`` n-grams; these bounds are parameters, and bound what is broadcast. Whole texts
 are read in training and in prediction.
 
@@ -17,7 +17,6 @@ one; an empty table gives an empty table; other columns pass through, those name
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from simstrata.llm.common import WS, remainder
+from simstrata.llm.common import remainder
 
 MAX_DOCS, MAX_WORDS, MAX_GRAMS, ORDER = 20_000, 100_000, 100_000, 5
 BACKOFF, CACHE = np.log(0.4), 200_000
@@ -52,36 +51,39 @@ def grams_of(word: str, n: int) -> list[str]:
 
 def model_of(counts: list[tuple[str, str, int]], max_grams: int = MAX_GRAMS, order: int = ORDER) -> Model:
     """A model from (lang, word, count); rare n-grams go first when there are more than ``max_grams``."""
-    langs = sorted({x[0] for x in counts})
-    at = {x: i for i, x in enumerate(langs)}
-    words: dict[str, np.ndarray] = {}
+    langs, words = sorted({x[0] for x in counts}), sorted({x[1] for x in counts})
+    at, row = {x: i for i, x in enumerate(langs)}, {x: i for i, x in enumerate(words)}
+    by_word = np.zeros((len(words), len(langs)))
     for lang, word, n in counts:
-        words.setdefault(word, np.zeros(len(langs)))[at[lang]] += n
-    grams: list[dict[str, np.ndarray]] = [{} for _ in range(order + 1)]
-    for word, vector in words.items():
-        for n in range(1, order + 1):
-            for g in grams_of(word, n):
-                if g in grams[n]:
-                    grams[n][g] = grams[n][g] + vector
-                else:
-                    grams[n][g] = vector
-    kept = Counter({(n, g): float(v.sum()) for n in range(1, order + 1) for g, v in grams[n].items()})
-    kept = {k for k, _ in sorted(kept.items(), key=lambda x: (-x[1], x[0]))[:max_grams]}
-    rows, index = [], [{} for _ in range(order + 2)]
-    for slot, found in [(order + 1, words), *((n, {g: v for g, v in grams[n].items() if (n, g) in kept}) for n in range(1, order + 1))]:
-        total = sum(found.values(), np.zeros(len(langs))) + 0.5 * max(1, len(found))
-        for key, vector in found.items():
-            index[slot][key] = len(rows)
-            rows.append(np.log((vector + 0.5) / total))
-    return Model(langs, index[order + 1], index[: order + 1], np.array(rows).reshape(len(rows), len(langs)), np.full(len(langs), np.log(1e-7)))
+        by_word[row[word], at[lang]] += n
+    keys, sums = [(order + 1, np.array(words, dtype=object))], [by_word]
+    for n in range(1, order + 1):
+        parts = [grams_of(word, n) for word in words]
+        flat = np.array([g for part in parts for g in part], dtype=object)
+        names, inverse = np.unique(flat, return_inverse=True) if len(flat) else (flat, np.zeros(0, np.int64))
+        owner = np.repeat(np.arange(len(words)), [len(part) for part in parts])
+        sums.append(np.stack([np.bincount(inverse, by_word[owner, j], len(names)) for j in range(len(langs))], axis=1) if langs else np.zeros((0, 0)))
+        keys.append((n, names))
+    sizes = np.concatenate([x.sum(axis=1) for x in sums[1:]]) if len(sums) > 1 else np.zeros(0)
+    least = np.sort(sizes)[-max_grams] if len(sizes) > max_grams else 0.0
+    index: list[dict[str, int]] = [{} for _ in range(order + 2)]
+    rows, start = [], 0
+    for (slot, names), found in zip(keys, sums, strict=True):
+        if slot <= order:
+            good = found.sum(axis=1) >= least
+            names, found = names[good], found[good]
+        rows.append(np.log((found + 0.5) / (found.sum(axis=0) + 0.5 * max(1, len(found)))))
+        index[slot] = dict(zip(names.tolist(), range(start, start + len(names)), strict=True))
+        start += len(names)
+    return Model(langs, index[order + 1], index[: order + 1], np.concatenate(rows), np.full(len(langs), np.log(1e-7)))
 
 
 def fit(df: DataFrame, text: str = "text", lang: str = "lang", max_docs: int = MAX_DOCS, max_words: int = MAX_WORDS) -> Model:
     """Learn from ``df``'s non-null languages and texts, on a bounded sample of rows (see above)."""
-    sample = (
-        df.select(F.col(text).alias("t"), F.col(lang).alias("l")).where("t is not null and l is not null")
-        .withColumn("h", F.xxhash64("t", "l")).orderBy("h", "l").limit(max_docs)
-    )
+    rows = df.select(F.col(text).alias("t"), F.col(lang).alias("l")).where("t is not null and l is not null")
+    share = min(1.0, max_docs / max(1, rows.count()))
+    # A filter by a hash, so no text is shuffled to draw the sample.
+    sample = rows.where(F.pmod(F.xxhash64("t", "l"), F.lit(1 << 30)) < int(share * (1 << 30)))
     words = sample.select("l", F.explode(F.split(F.lower("t"), r"[^\p{L}]+")).alias("w")).where("w != ''")
     counted = words.groupBy("w", "l").agg(F.count("*").alias("n"))
     per_word = counted.groupBy("w").agg(F.sum("n").alias("all"), F.collect_list(F.struct("l", "n")).alias("by"))
@@ -89,12 +91,22 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", max_docs: int = M
     return model_of([(x.l, r.w, x.n) for r in top for x in r.by])
 
 
+class _Rows(dict):
+    """Raw token to its row in the scorer's table; a token that isn't there is worked out."""
+
+    def __init__(self, new) -> None:
+        self.new = new
+
+    def __missing__(self, token: str) -> int:
+        return self.new(token)
+
+
 class Scorer:
     """Token vectors with a cache; the last column of ``table`` counts the words of letters in a token."""
 
     def __init__(self, model: Model) -> None:
         self.model = model
-        self.ids: dict[str, int] = {}
+        self.ids = _Rows(self.token)
         self.table = np.zeros((1024, len(model.langs) + 1))
 
     def vector(self, word: str) -> np.ndarray:
@@ -130,17 +142,20 @@ class Scorer:
         return total / max(1, count)
 
     def token(self, token: str) -> int:
-        """Row of a raw token in ``table``."""
-        if (i := self.ids.get(token)) is not None:
-            return i
-        row = np.zeros(len(self.model.langs) + 1)
-        for word in _WORD.findall(token.lower()):
-            row[:-1] += self.vector(word)
-            row[-1] += 1
+        """Works out the row of a raw token."""
         i = len(self.ids)
         if i == len(self.table):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        self.table[i] = row
+        row = self.table[i]
+        word = token.rstrip(".,").lower()
+        known = self.model.words.get(word)
+        if known is not None:
+            row[:-1], row[-1] = self.model.rows[known], 1
+        else:
+            row[:] = 0
+            for word in _WORD.findall(word):
+                row[:-1] += self.vector(word)
+                row[-1] += 1
         self.ids[token] = i
         return i
 
@@ -149,15 +164,10 @@ class Scorer:
             return "und", 0.0
         if len(self.ids) > CACHE:
             self.ids.clear()
-        ids, known, new = [], self.ids, self.token
-        for t in text.split():
-            i = known.get(t)
-            ids.append(new(t) if i is None else i)
+        ids = list(map(self.ids.__getitem__, text.split()))
         if not ids:
             return "und", 0.0
-        total = np.bincount(ids, minlength=1)
-        used = np.flatnonzero(total)
-        sums = total[used] @ self.table[used]
+        sums = self.table[ids].sum(axis=0)
         if sums[-1] == 0:
             return "und", 0.0
         mean = sums[:-1] / sums[-1]
