@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from simstrata.llm.common import remainder
+from simstrata.llm.common import remainder, written
 
 MAX_DOCS, MAX_WORDS, MAX_GRAMS, ORDER = 20_000, 100_000, 100_000, 5
 BACKOFF, CACHE = np.log(0.4), 200_000
@@ -49,36 +49,28 @@ def grams_of(word: str, n: int) -> list[str]:
     return [padded[i : i + n] for i in range(len(padded) - n + 1)]
 
 
-def model_of(counts: list[tuple[str, str, int]], max_grams: int = MAX_GRAMS, order: int = ORDER) -> Model:
-    """A model from (lang, word, count); rare n-grams go first when there are more than ``max_grams``."""
-    langs, words = sorted({x[0] for x in counts}), sorted({x[1] for x in counts})
-    at, row = {x: i for i, x in enumerate(langs)}, {x: i for i, x in enumerate(words)}
-    by_word = np.zeros((len(words), len(langs)))
-    for lang, word, n in counts:
-        by_word[row[word], at[lang]] += n
-    keys, sums = [(order + 1, np.array(words, dtype=object))], [by_word]
-    for n in range(1, order + 1):
-        parts = [grams_of(word, n) for word in words]
-        flat = np.array([g for part in parts for g in part], dtype=object)
-        names, inverse = np.unique(flat, return_inverse=True) if len(flat) else (flat, np.zeros(0, np.int64))
-        owner = np.repeat(np.arange(len(words)), [len(part) for part in parts])
-        sums.append(np.stack([np.bincount(inverse, by_word[owner, j], len(names)) for j in range(len(langs))], axis=1) if langs else np.zeros((0, 0)))
-        keys.append((n, names))
-    sizes = np.concatenate([x.sum(axis=1) for x in sums[1:]]) if len(sums) > 1 else np.zeros(0)
-    least = np.sort(sizes)[-max_grams] if len(sizes) > max_grams else 0.0
+def model_of(counts: list[tuple[str, dict[str, int]]], grams: list[tuple[int, str, dict[str, float]]], order: int = ORDER) -> Model:
+    """A model from (word, counts by language) and (n, n-gram, counts by language)."""
+    langs = sorted({x for _, by in counts for x in by})
+    at = {x: i for i, x in enumerate(langs)}
     index: list[dict[str, int]] = [{} for _ in range(order + 2)]
     rows, start = [], 0
-    for (slot, names), found in zip(keys, sums, strict=True):
-        if slot <= order:
-            good = found.sum(axis=1) >= least
-            names, found = names[good], found[good]
+    for slot in range(1, order + 2):
+        own = counts if slot > order else [(g, by) for n, g, by in grams if n == slot]
+        found = np.zeros((len(own), len(langs)))
+        for i, (_, by) in enumerate(own):
+            for lang, n in by.items():
+                found[i, at[lang]] += n
         rows.append(np.log((found + 0.5) / (found.sum(axis=0) + 0.5 * max(1, len(found)))))
-        index[slot] = dict(zip(names.tolist(), range(start, start + len(names)), strict=True))
-        start += len(names)
+        index[slot] = {key: start + i for i, (key, _) in enumerate(own)}
+        start += len(own)
     return Model(langs, index[order + 1], index[: order + 1], np.concatenate(rows), np.full(len(langs), np.log(1e-7)))
 
 
-def fit(df: DataFrame, text: str = "text", lang: str = "lang", max_docs: int = MAX_DOCS, max_words: int = MAX_WORDS) -> Model:
+def fit(
+    df: DataFrame, text: str = "text", lang: str = "lang", max_docs: int = MAX_DOCS, max_words: int = MAX_WORDS,
+    max_grams: int = MAX_GRAMS, order: int = ORDER,
+) -> Model:
     """Learn from ``df``'s non-null languages and texts, on a bounded sample of rows (see above)."""
     rows = df.select(F.col(text).alias("t"), F.col(lang).alias("l")).where("t is not null and l is not null")
     share = min(1.0, max_docs / max(1, rows.count()))
@@ -86,9 +78,17 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", max_docs: int = M
     sample = rows.where(F.pmod(F.xxhash64("t", "l"), F.lit(1 << 30)) < int(share * (1 << 30)))
     words = sample.select("l", F.explode(F.split(F.lower("t"), r"[^\p{L}]+")).alias("w")).where("w != ''")
     counted = words.groupBy("w", "l").agg(F.count("*").alias("n"))
-    per_word = counted.groupBy("w").agg(F.sum("n").alias("all"), F.collect_list(F.struct("l", "n")).alias("by"))
-    top = per_word.where(F.length("w") <= 64).orderBy(F.desc("all"), "w").limit(max_words).collect()
-    return model_of([(x.l, r.w, x.n) for r in top for x in r.by])
+    by = F.map_from_entries(F.collect_list(F.struct("l", "n"))).alias("by")
+    per_word = counted.groupBy("w").agg(F.sum("n").alias("all"), by)
+    top = written(per_word.where(F.length("w") <= 64).orderBy(F.desc("all"), "w").limit(max_words).select("w", "by"), "langid-words")
+    # The n-grams of all these words, counted where the words are; only the most frequent come to the driver.
+    padded = top.select(F.concat(F.lit(" "), "w", F.lit(" ")).alias("p"), "by")
+    sized = padded.select("p", "by", F.explode(F.sequence(F.lit(1), F.lit(order))).alias("n")).where("length(p) >= n")
+    spots = sized.select("n", "by", F.expr("explode(transform(sequence(1, length(p) - n + 1), i -> substring(p, i, n)))").alias("g"))
+    flat = spots.select("n", "g", F.explode("by").alias("l", "c")).groupBy("n", "g", "l").agg(F.sum("c").alias("c"))
+    grams = flat.groupBy("n", "g").agg(F.sum("c").alias("all"), F.map_from_entries(F.collect_list(F.struct("l", "c"))).alias("by"))
+    best = grams.orderBy(F.desc("all"), "n", "g").limit(max_grams).select("n", "g", "by").toLocalIterator()
+    return model_of([(r.w, r.by) for r in top.toLocalIterator()], [(r.n, r.g, r.by) for r in best], order)
 
 
 class _Rows(dict):
