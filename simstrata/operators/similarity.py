@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SALTS = 8
-
 
 def sign_bits(vec: str | Column) -> Column:
     """One character per component, '0' where it is negative."""
@@ -47,18 +45,19 @@ def with_norm(df: DataFrame, vec: str = "vec", name: str = "norm") -> DataFrame:
     return df.withColumn(name, F.sqrt(dot(vec, vec)))
 
 
-def probe_join(queries: DataFrame, store: DataFrame, threshold: float, n_bits: int, salts: int = SALTS) -> DataFrame:
+def probe_join(queries: DataFrame, store: DataFrame, threshold: float, n_bits: int) -> DataFrame:
     """Pairs of ``queries`` (q_id, vec) and ``store`` (s_id, vec) in the same or a one-bit neighbour bucket, with cosine
     of at least ``threshold``: (q_id, s_id, similarity).
 
-    A pair meets in exactly one bucket. The join goes over bucket and a salt of the store's row, so that a bucket with a
-    large share of the store is dealt over ``salts`` tasks; callers pass distinct vectors.
+    A pair meets in exactly one bucket. Only ids and buckets are multiplied by the probes; vectors are joined to the
+    pairs. The bucket join is a plain inner join, whose large partitions adaptive execution splits; callers pass distinct
+    vectors.
     """
-    q = with_norm(signed(queries, "vec", n_bits)).withColumn("probe", F.explode(probes("bucket_id", "vec", n_bits)))
-    q = q.select("q_id", F.col("vec").alias("q_vec"), F.col("norm").alias("q_norm"), F.col("probe").alias("bucket_id"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    s = with_norm(signed(store, "vec", n_bits)).withColumn("salt", F.pmod(F.xxhash64("s_id"), F.lit(salts)).cast("int"))
-    s = s.select("s_id", F.col("vec").alias("s_vec"), F.col("norm").alias("s_norm"), "bucket_id", "salt")
-    pairs = q.join(s, ["bucket_id", "salt"]).where("q_norm > 0 and s_norm > 0")
+    q = signed(queries, "vec", n_bits).select("q_id", F.explode(probes("bucket_id", "vec", n_bits)).alias("bucket_id"))
+    s = signed(store, "vec", n_bits).select("s_id", "bucket_id")
+    q_vec = with_norm(queries).where("norm > 0").select("q_id", F.col("vec").alias("q_vec"), F.col("norm").alias("q_norm"))
+    s_vec = with_norm(store).where("norm > 0").select("s_id", F.col("vec").alias("s_vec"), F.col("norm").alias("s_norm"))
+    pairs = q.join(s, "bucket_id").select("q_id", "s_id").join(q_vec, "q_id").join(s_vec, "s_id")
     scored = pairs.select("q_id", "s_id", (dot("q_vec", "s_vec") / (F.col("q_norm") * F.col("s_norm"))).alias("similarity"))
     return scored.where(F.col("similarity") >= threshold)
 

@@ -1,4 +1,4 @@
-"""The engine's registered queries with their DuckDB counterparts."""
+"""The engine's registered queries with their DuckDB counterparts. All run over whole tables."""
 
 from __future__ import annotations
 
@@ -7,15 +7,502 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from simstrata.functions import udfs
+from simstrata.operators import chunking, diffs, families, mosaic, placement, similarity, store
+from simstrata.streaming import telemetry
 
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+SIZE, GATE, BITS, SIMILAR = 256, 4.0, 8, 0.30
+
+#: Chunks of SIZE bytes as hex, in DuckDB.
+CHUNKS_SQL = f"""f AS (SELECT doc_id, lang, source, hex(encode(coalesce(text, ''))) AS h FROM documents),
+c AS (SELECT doc_id, lang, source, i AS chunk_idx, substring(h, {2 * SIZE} * i + 1, {2 * SIZE}) AS hx
+      FROM (SELECT *, unnest(range(0, length(h) // {2 * SIZE})) AS i FROM f)),
+g AS (SELECT *, sha256(unhex(hx)) AS guid FROM c)"""
+BITS_SQL = f"""e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+s AS (SELECT vec_id, label, v, list_reduce(list_prepend(0, list_transform(range(0, {BITS}), lambda i: CASE WHEN v[i + 1] < 0 THEN 0 ELSE 1 << i END)), lambda a, b: a + b) AS bucket_id,
+      sqrt(list_dot_product(v, v)) AS norm FROM e)"""
+PAIRS_SQL = f"""{BITS_SQL},
+m AS (SELECT a.vec_id AS q_id, b.vec_id AS s_id, list_dot_product(a.v, b.v) / (a.norm * b.norm) AS similarity
+      FROM s a JOIN s b ON a.vec_id <> b.vec_id AND bit_count(xor(CAST(a.bucket_id AS BIGINT), CAST(b.bucket_id AS BIGINT))) <= 1 WHERE a.norm > 0 AND b.norm > 0),
+k AS (SELECT * FROM m WHERE similarity >= {SIMILAR})"""
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _files(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return docs.select(F.col("doc_id").alias("file_id"), F.coalesce(F.encode("text", "UTF-8"), F.lit(b"")).alias("bytes"), *keep)
+
+
+def _chunks(spark: SparkSession, sf_dir: str, *keep: str, size: int = SIZE) -> DataFrame:
+    return chunking.chunks(_files(spark, sf_dir, *keep), size, *keep)
+
+
+# Chunks and exact duplicates.
+
+
+@query(f"""WITH {CHUNKS_SQL}, p AS (SELECT lang, guid, count(*) AS n, hx = repeat('00', {SIZE}) AS zero FROM g GROUP BY ALL)
+SELECT lang, CAST(sum(n) AS BIGINT) AS n_chunks, count(*) AS n_unique, CAST(sum(CASE WHEN zero THEN n ELSE 0 END) AS BIGINT) AS n_zero, CAST((sum(n) - count(*)) * {SIZE} AS BIGINT) AS bytes_saved FROM p GROUP BY lang""")
 def chunk_dedup_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.groupBy("lang").agg(F.count("*").alias("n_docs"))
+    return chunking.dedup_report(_chunks(spark, sf_dir, "lang"), SIZE, "lang")
+
+
+@query(f"WITH {CHUNKS_SQL} SELECT guid, min((doc_id, chunk_idx))[1] AS file_id, CAST(min((doc_id, chunk_idx))[2] AS INT) AS chunk_idx, count(*) - 1 AS refs, (count(*) - 1) * {SIZE} AS bytes_saved FROM g GROUP BY guid")
+def dup_owner_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.owners(_chunks(spark, sf_dir), SIZE)
+
+
+@query(f"WITH {CHUNKS_SQL} SELECT count(*) AS n_chunks, count(DISTINCT guid) AS n_unique, (count(*) - count(DISTINCT guid)) * {SIZE} AS bytes_saved FROM g")
+def chunk_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    per = _chunks(spark, sf_dir).groupBy(chunking.guid().alias("guid")).agg(F.count("*").alias("n"))
+    return per.agg(F.sum("n").alias("n_chunks"), F.count("*").alias("n_unique"), ((F.sum("n") - F.count("*")) * SIZE).alias("bytes_saved"))
+
+
+@query(f"SELECT doc_id AS file_id, CAST(octet_length(encode(coalesce(text, ''))) % {SIZE} AS INT) AS trim_bytes, CAST(octet_length(encode(coalesce(text, ''))) // {SIZE} AS INT) AS n_chunks FROM documents")
+def trim_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.length("bytes")
+    return _files(spark, sf_dir).select("file_id", (n % SIZE).alias("trim_bytes"), F.floor(n / SIZE).cast("int").alias("n_chunks"))
+
+
+@query("""WITH b AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS n FROM documents)
+SELECT doc_id AS file_id, CAST(i AS INT) AS block_idx, CAST(least(4096, n - 4096 * i) AS INT) AS block_bytes FROM (SELECT *, unnest(range(0, greatest(1, (n + 4095) // 4096))) AS i FROM b)""")
+def byte_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.windows(_files(spark, sf_dir), 4096).select("file_id", "block_idx", F.length("block").alias("block_bytes"))
+
+
+@query(f"""WITH {CHUNKS_SQL}, b AS (SELECT guid, substring(hx, 2 * i + 1, 2) AS b FROM (SELECT DISTINCT guid, hx FROM g), unnest(range(0, {SIZE})) AS t(i)),
+n AS (SELECT guid, b, count(*) AS n FROM b GROUP BY ALL)
+SELECT guid, round(log2(sum(n)) - sum(n * log2(n)) / sum(n), 6) AS entropy, round(log2(sum(n)) - sum(n * log2(n)) / sum(n), 6) >= {GATE} AS open FROM n GROUP BY guid""")
+def chunk_entropy_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    distinct = _chunks(spark, sf_dir).select(chunking.guid().alias("guid"), "chunk").dropDuplicates(["guid"])
+    e = distinct.select("guid", F.round(udfs.byte_entropy("chunk"), 6).alias("entropy"))
+    return e.withColumn("open", F.col("entropy") >= GATE)
+
+
+@query(f"WITH {CHUNKS_SQL} SELECT CAST(concat('0x', substring(hx, 2 * i + 1, 2)) AS INT) AS byte, count(*) AS n FROM g, unnest(range(0, {SIZE})) AS t(i) GROUP BY ALL")
+def chunk_byte_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.byte_counts(_chunks(spark, sf_dir), [])
+
+
+@query(f"""WITH {CHUNKS_SQL}, o AS (SELECT guid, min(doc_id) AS owner FROM g GROUP BY guid)
+SELECT doc_id AS file_id, count(*) AS n_chunks, count(*) FILTER (owner <> doc_id) AS cross_refs, count(DISTINCT guid) AS n_unique FROM g JOIN o USING (guid) GROUP BY doc_id""")
+def cross_doc_chunk_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # One row per guid and file first, so a chunk that very many files share joins as few rows.
+    per = _chunks(spark, sf_dir).groupBy(chunking.guid().alias("guid"), "file_id").agg(F.count("*").alias("n"))
+    owner = per.groupBy("guid").agg(F.min("file_id").alias("owner"))
+    return per.join(owner, "guid").groupBy("file_id").agg(
+        F.sum("n").alias("n_chunks"), F.sum(F.when(F.col("owner") != F.col("file_id"), F.col("n")).otherwise(0)).alias("cross_refs"), F.count("*").alias("n_unique"))
+
+
+@query("SELECT count(*) AS checked, count(*) FILTER (sha256(encode(coalesce(text, ''))) <> sha256(encode(lower(coalesce(text, ''))))) AS mismatches, min(doc_id) FILTER (sha256(encode(coalesce(text, ''))) <> sha256(encode(lower(coalesce(text, ''))))) AS first_bad FROM documents")
+def hash_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored payloads (here lower-cased) against the address of the original."""
+    t = F.coalesce(F.col("text"), F.lit(""))
+    bad = F.sha2(F.encode(F.lower(t), "UTF-8"), 256) != F.sha2(F.encode(t, "UTF-8"), 256)
+    return table(spark, sf_dir, "documents").agg(F.count("*").alias("checked"), F.count_if(bad).alias("mismatches"), F.min(F.when(bad, F.col("doc_id"))).alias("first_bad"))
+
+
+@query("""WITH d AS (SELECT text, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY text)
+SELECT doc_id, copies, sha256(encode(coalesce(text, ''))) AS guid FROM d""")
+def distinct_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text").groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+    return rows.select("doc_id", "copies", F.sha2(F.coalesce(F.encode("text", "UTF-8"), F.lit(b"")), 256).alias("guid"))
+
+
+# Signatures and the similarity join.
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").alias("vec"))
+
+
+@query("""SELECT vec_id, array_to_string(list_transform(embedding, lambda x: CASE WHEN x < 0 THEN '0' ELSE '1' END), '') AS bits FROM embeddings""")
+def vec_sign_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _vectors(spark, sf_dir).select("vec_id", similarity.sign_bits("vec").alias("bits"))
+
+
+@query(f"WITH {BITS_SQL} SELECT CAST(bucket_id AS BIGINT) AS bucket_id, lpad(lower(printf('%x', CAST(bucket_id AS BIGINT))), 16, '0') AS routing_key, count(*) AS n FROM s GROUP BY ALL")
+def bucket_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = similarity.signed(_vectors(spark, sf_dir), "vec", BITS).groupBy("bucket_id").agg(F.count("*").alias("n"))
+    return rows.select("bucket_id", similarity.routing_key("bucket_id").alias("routing_key"), "n")
+
+
+@query(f"""WITH {BITS_SQL}, p AS (SELECT CAST(bucket_id AS BIGINT) AS probe FROM s UNION ALL SELECT xor(CAST(bucket_id AS BIGINT), CAST(1 << i AS BIGINT)) FROM s, unnest(range(0, {BITS})) AS t(i))
+SELECT probe, count(*) AS n FROM p GROUP BY probe""")
+def probe_explode_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = similarity.signed(_vectors(spark, sf_dir), "vec", BITS)
+    return rows.select(F.explode(similarity.probes("bucket_id", "vec", BITS)).alias("probe")).groupBy("probe").agg(F.count("*").alias("n"))
+
+
+def _matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = _vectors(spark, sf_dir)
+    pairs = similarity.probe_join(v.select(F.col("vec_id").alias("q_id"), "vec"), v.select(F.col("vec_id").alias("s_id"), "vec"), SIMILAR, BITS)
+    return pairs.where("q_id != s_id")
+
+
+@query(f"WITH {PAIRS_SQL} SELECT q_id, s_id, round(similarity, 4) AS similarity FROM k")
+def multi_probe_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _matches(spark, sf_dir).withColumn("similarity", F.round("similarity", 4))
+
+
+@query(f"WITH {PAIRS_SQL} SELECT q_id, s_id, CAST(rnk AS INT) AS rnk FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY similarity DESC, s_id) AS rnk FROM k) WHERE rnk <= 10")
+def sim_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity.top_k(_matches(spark, sf_dir), 10).select("q_id", "s_id", "rnk")
+
+
+@query(f"WITH {PAIRS_SQL} SELECT q_id, s_id, round(similarity, 4) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY similarity DESC, s_id) AS rnk FROM k) WHERE rnk = 1")
+def sim_best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity.best_match(_matches(spark, sf_dir)).withColumn("similarity", F.round("similarity", 4))
+
+
+@query(f"WITH {PAIRS_SQL} SELECT vec_id AS q_id, count(k.s_id) = 0 AS fresh FROM s LEFT JOIN k ON k.q_id = s.vec_id GROUP BY vec_id")
+def unmatched_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = _vectors(spark, sf_dir).select(F.col("vec_id").alias("q_id"))
+    return similarity.with_default(q, similarity.best_match(_matches(spark, sf_dir))).select("q_id", "fresh")
+
+
+@query(f"WITH {PAIRS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY similarity DESC, s_id) AS rnk FROM k) SELECT q_id, s_id, round(similarity, 4) AS similarity FROM r WHERE rnk = 2")
+def second_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranked = similarity.top_k(_matches(spark, sf_dir), 2).where("rnk = 2")
+    return ranked.select("q_id", "s_id", F.round("similarity", 4).alias("similarity"))
+
+
+@query("""WITH e AS (SELECT vec_id, label, generate_subscripts(embedding, 1) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),
+m AS (SELECT label, i, avg(x) AS m FROM e GROUP BY ALL),
+d AS (SELECT label, vec_id, round(sum(abs(x - m)), 9) AS far FROM e JOIN m USING (label, i) GROUP BY ALL)
+SELECT label, count(*) AS members, min((far, vec_id))[2] AS rep FROM d GROUP BY label""")
+def bits_group_representative(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity.representatives(_vectors(spark, sf_dir), "vec_id", "vec", "label")
+
+
+@query()
+def lsh_bucket_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct chunks by their 64-bit bucket."""
+    distinct = _chunks(spark, sf_dir).select(chunking.guid().alias("guid"), "chunk").dropDuplicates(["guid"])
+    return similarity.signed(distinct.withColumn("vec", udfs.lsh_vector("chunk"))).groupBy("bucket_id").agg(F.count("*").alias("n_chunks"))
+
+
+# Differences.
+
+_FIRST_SQL = f"""{CHUNKS_SQL}, z AS (SELECT hx AS base FROM g ORDER BY doc_id, chunk_idx LIMIT 1),
+u AS (SELECT guid, min(hx) AS hx FROM g GROUP BY guid),
+x AS (SELECT guid, CAST(i AS INT) AS off, CAST(concat('0x', substring(hx, 2 * i + 1, 2)) AS INT) - CAST(concat('0x', substring(base, 2 * i + 1, 2)) AS INT) AS delta
+      FROM u, z, unnest(range(0, {SIZE})) AS t(i)),
+b AS (SELECT * FROM x WHERE delta <> 0)"""
+
+
+def _against_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(guid, chunk, base): each distinct chunk against the corpus's first chunk."""
+    rows = _chunks(spark, sf_dir)
+    base = rows.agg(F.min_by("chunk", F.struct("file_id", "chunk_idx")).alias("base"))
+    return rows.select(chunking.guid().alias("guid"), "chunk").dropDuplicates(["guid"]).join(F.broadcast(base))  # one row
+
+
+@query(f"WITH {_FIRST_SQL}, w AS (SELECT *, off - row_number() OVER (PARTITION BY guid, delta ORDER BY off) AS i FROM b), r AS (SELECT guid, delta, i, count(*) AS len FROM w GROUP BY ALL) SELECT len, count(*) AS n_runs, CAST(sum(delta) AS BIGINT) AS sum_delta FROM r GROUP BY len")
+def diff_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = diffs.runs(diffs.byte_rows(_against_first(spark, sf_dir), ["guid"]), ["guid"])
+    return found.groupBy("len").agg(F.count("*").alias("n_runs"), F.sum("delta").alias("sum_delta"))
+
+
+@query(f"WITH {_FIRST_SQL}, w AS (SELECT off - coalesce(lag(off) OVER (PARTITION BY guid ORDER BY off), 0) AS gap FROM b) SELECT gap, count(*) AS n FROM w GROUP BY gap")
+def diff_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = diffs.gaps(diffs.byte_rows(_against_first(spark, sf_dir), ["guid"]), ["guid"])
+    return found.groupBy("gap").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_FIRST_SQL}, h AS (SELECT guid, count(*) FILTER (delta <> 0) AS n FROM x GROUP BY guid) SELECT CAST(least(9, floor(10 * n / {SIZE})) AS INT) AS bin, count(*) AS n_chunks FROM h GROUP BY ALL")
+def diff_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = _against_first(spark, sf_dir).select(udfs.byte_hamming("chunk", "base").alias("n"))
+    return n.groupBy(diffs.error_bin("n", SIZE).alias("bin")).agg(F.count("*").alias("n_chunks"))
+
+
+@query(f"""WITH {_FIRST_SQL}, h AS (SELECT guid, count(*) FILTER (delta <> 0) AS n FROM x GROUP BY guid)
+SELECT CASE WHEN n = 0 THEN 'exact' WHEN n > 0.40 * {SIZE} THEN 'bloated' WHEN 2 + 4 * n >= {SIZE} THEN 'tight' ELSE 'diff' END AS class, count(*) AS n_chunks, CAST(sum(n) AS BIGINT) AS n_bytes FROM h GROUP BY ALL""")
+def bloat_guard_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = _against_first(spark, sf_dir).select(udfs.byte_hamming("chunk", "base").alias("n"))
+    return n.groupBy(diffs.bloat_class("n", SIZE).alias("class")).agg(F.count("*").alias("n_chunks"), F.sum("n").alias("n_bytes"))
+
+
+@query(f"WITH {_FIRST_SQL}, w AS (SELECT guid, off, off - row_number() OVER (PARTITION BY guid ORDER BY off) AS i FROM b), r AS (SELECT guid, i, count(*) AS len FROM w GROUP BY ALL) SELECT len, count(*) AS n_runs FROM r WHERE len BETWEEN 4 AND 255 AND 7 + len < {SIZE} / 8 GROUP BY len")
+def literal_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = diffs.literal_runs(diffs.byte_rows(_against_first(spark, sf_dir), ["guid"]), ["guid"], SIZE)
+    return found.groupBy("len").agg(F.count("*").alias("n_runs"))
+
+
+@query("""WITH d AS (SELECT *, l_quantity - lag(l_quantity) OVER w AS step, l_linenumber - lag(l_linenumber) OVER w AS gap FROM (SELECT l_orderkey, l_linenumber, min(l_quantity) AS l_quantity FROM lineitem GROUP BY ALL) WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber)),
+t AS (SELECT *, CASE WHEN gap = 1 THEN step END AS st FROM d),
+c AS (SELECT *, CASE WHEN st IS NOT NULL AND st = lag(st) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) THEN 0 ELSE 1 END AS chg FROM t),
+r AS (SELECT *, sum(chg) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber ROWS UNBOUNDED PRECEDING) AS run FROM c)
+SELECT l_orderkey, st AS step, min(l_linenumber) - 1 AS first, count(*) + 1 AS len, 5 * (count(*) + 1) - CASE WHEN st = 0 THEN 9 ELSE 10 END AS savings FROM r WHERE st IS NOT NULL GROUP BY l_orderkey, st, run HAVING count(*) + 1 >= 3""")
+def column_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_quantity").alias("l_quantity"))
+    return diffs.column_runs(rows, ["l_orderkey"], "l_linenumber", "l_quantity")
+
+
+# Families.
+
+
+@query("SELECT sha256(encode(coalesce(text, ''))) AS family, count(*) AS members FROM documents GROUP BY 1 HAVING count(*) > 1")
+def family_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return families.exact_families(_files(spark, sf_dir), "bytes")
+
+
+@query(f"""WITH {CHUNKS_SQL}, a AS (SELECT doc_id, min(guid) AS family FROM g GROUP BY doc_id), m AS (SELECT family, count(*) AS members FROM a GROUP BY family)
+SELECT family, members FROM m WHERE members > 1""")
+def family_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One-band families by the least address of a file's chunks."""
+    least = _chunks(spark, sf_dir).groupBy("file_id").agg(F.min(chunking.guid()).alias("family"))
+    return least.groupBy("family").agg(F.count("*").alias("members")).where("members > 1")
+
+
+@query(f"""WITH {CHUNKS_SQL}, a AS (SELECT doc_id, source, min(guid) AS family FROM g GROUP BY doc_id, source)
+SELECT family, count(*) AS members, count(DISTINCT source) AS packs FROM a GROUP BY family HAVING count(*) >= 3 AND count(DISTINCT source) > 1""")
+def family_scattered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    least = _chunks(spark, sf_dir, "source").groupBy("file_id", F.col("source").alias("pack_id")).agg(F.min(chunking.guid()).alias("family"))
+    return families.scattered(least)
+
+
+@query()
+def family_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _chunks(spark, sf_dir).withColumn("vec", udfs.lsh_vector("chunk"))
+    refs = similarity.signed(rows).select("file_id", "bucket_id")
+    return families.minhash_families(refs).groupBy("family").agg(F.count("*").alias("members"))
+
+
+@query("WITH p AS (SELECT l_partkey, l_suppkey, min(l_orderkey * 8 + l_linenumber) AS first FROM lineitem GROUP BY ALL) SELECT l_partkey AS bucket_id, l_suppkey AS chunk_id, row_number() OVER (ORDER BY first, l_partkey, l_suppkey) - 1 AS idx FROM p")
+def ref_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("bucket_id"), F.col("l_suppkey").alias("chunk_id"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("pos"))
+    return families.catalog(rows)
+
+
+@query("SELECT * FROM (SELECT source, doc_id, CAST(sum(coalesce(n_chars, 0)) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running FROM documents) WHERE running <= 50000")
+def byte_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("source", "doc_id", F.coalesce("n_chars", F.lit(0)).alias("n"))
+    return families.within_budget(rows, ["source"], ["doc_id"], "n", 50_000).select("source", "doc_id", "running")
+
+
+# Codecs: round trips.
+
+
+@query()
+def ccf_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document compressed against an empty store and rebuilt from blobs and store."""
+    files = _files(spark, sf_dir)
+    blobs, new = store.compress(files, store.empty_store(spark), SIZE)
+    back = store.decompress(blobs, new)
+    return back.join(files.select("file_id", F.sha2("bytes", 256).alias("want")), "file_id").select(
+        "file_id", F.length("bytes").alias("n_bytes"), (F.col("ok") & (F.sha2("bytes", 256) == F.col("want"))).alias("ok"))
+
+
+@query()
+def ccf_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents compressed against the chunks of the pages."""
+    pages = chunking.payloads(table(spark, sf_dir, "pages"), "page_id", "html")
+    _, held = store.compress(pages, store.empty_store(spark), SIZE)
+    blobs, _ = store.compress(_files(spark, sf_dir), held, SIZE)
+    return store.statistics(blobs, SIZE)
+
+
+@query()
+def container_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = _files(spark, sf_dir)
+    blobs, _ = store.compress(files, store.empty_store(spark), SIZE, block=4096)
+    whole = store.containers(blobs, files)
+    found = whole.select("file_id", F.length("blob").alias("n_bytes"), F.substring("blob", 1, 3).cast("string").alias("magic"))
+    return found
+
+
+@query()
+def pframe_savings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = _files(spark, sf_dir)
+    least = _chunks(spark, sf_dir).groupBy("file_id").agg(F.min(chunking.guid()).alias("family"))
+    entries = files.join(least, "file_id", "left").select("file_id", F.coalesce("family", F.concat(F.lit("exact:"), F.col("file_id").cast("string"))).alias("family"), F.col("bytes").alias("blob"))
+    return families.savings(families.frames(entries))
+
+
+@query()
+def pack_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = _files(spark, sf_dir)
+    entries = files.select("file_id", F.sha2(F.substring("bytes", 1, SIZE), 256).alias("family"), F.col("bytes").alias("blob"))
+    back = families.unframed(families.frames(entries))
+    return back.join(files, "file_id").select("file_id", (F.col("blob") == F.col("bytes")).alias("ok"))
+
+
+@query()
+def lane_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lanes of the documents' chunks that a lane of a benchmark passage resembles."""
+    size = 1024
+    bench = chunking.chunks(chunking.payloads(table(spark, sf_dir, "benchmark"), "item_id", "text"), SIZE)
+    d = mosaic.lane_rows(bench.select(F.struct("file_id", "chunk_idx").alias("s_id"), "chunk"), "s_id", lanes=SIZE // 16)
+    q = mosaic.lane_rows(_chunks(spark, sf_dir, size=size).select(F.struct("file_id", "chunk_idx").alias("q_id"), "chunk"), "q_id", lanes=size // 16)
+    best = mosaic.lane_join(q, d, 1)
+    return best.groupBy(F.col("q_id.file_id").alias("file_id")).agg(F.count("*").alias("lanes"), F.sum("same").alias("same_bytes"))
+
+
+@query()
+def mosaic_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct chunks against the first chunks of the four smallest documents: single, pair, mosaic or fresh."""
+    rows = _chunks(spark, sf_dir)
+    first = rows.where("chunk_idx = 0").select("file_id", "chunk").orderBy("file_id").limit(4).agg(F.collect_list("chunk").alias("candidates"))
+    distinct = rows.select(chunking.guid().alias("q_id"), "chunk").dropDuplicates(["q_id"])
+    return mosaic.choose(distinct.join(F.broadcast(first))).groupBy("kind").agg(F.count("*").alias("n_chunks"), F.sum("n_diff").alias("n_diff"))
+
+
+# Placement.
+
+
+def _agents(spark: SparkSession, sf_dir: str) -> list[str]:
+    # Stand-in for the membership table: nations, a table of fixed size.
+    return [f"agent-{r.n_nationkey}" for r in table(spark, sf_dir, "nation").select("n_nationkey").collect()]
+
+
+@query()
+def ring_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", F.concat(F.lit("key-"), F.col("s_suppkey").cast("string")).alias("key"))
+    return rows.select("s_suppkey", placement.replicas("key", _agents(spark, sf_dir)).alias("agents"))
+
+
+@query()
+def rendezvous_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", similarity.routing_key("s_suppkey").alias("key"))
+    return rows.select("s_suppkey", placement.rendezvous("key", _agents(spark, sf_dir)).alias("agent"))
+
+
+@query("SELECT l_orderkey, count(*) AS replicas, count(*) FILTER (l_returnflag <> 'R') AS acks, count(*) FILTER (l_returnflag <> 'R') >= least(2, count(*)) AS ok FROM lineitem GROUP BY l_orderkey")
+def quorum_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_returnflag") != "R").alias("acked"))
+    return placement.quorum(rows, "l_orderkey", "acked")
+
+
+@query("WITH a AS (SELECT l_orderkey, count(*) FILTER (l_returnflag <> 'R') AS acks FROM lineitem GROUP BY l_orderkey) SELECT count(*) AS n, round(quantile_cont(acks, 0.5), 6) AS p50, round(quantile_cont(acks, 0.95), 6) AS p95, round(quantile_cont(acks, 0.99), 6) AS p99 FROM a")
+def replica_ack_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count_if(F.col("l_returnflag") != "R").alias("acks"))
+    p = F.percentile("acks", F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
+    return rows.agg(F.count("*").alias("n"), p.alias("p")).select("n", *(F.round(F.col("p")[i], 6).alias(f"p{q}") for i, q in enumerate((50, 95, 99))))
+
+
+@query("SELECT l_suppkey, min((-n, l_linenumber))[2] AS l_linenumber FROM (SELECT l_suppkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL) GROUP BY l_suppkey")
+def modal_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return placement.modal(table(spark, sf_dir, "lineitem"), "l_suppkey", "l_linenumber")
+
+
+# Totals.
+
+
+@query("SELECT o_orderstatus, count(*) AS jobs, round(sum(o_totalprice), 2) AS total, round(avg(o_totalprice), 4) AS mean FROM orders GROUP BY o_orderstatus")
+def block_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    return o.groupBy("o_orderstatus").agg(F.count("*").alias("jobs"), F.round(F.sum("o_totalprice"), 2).alias("total"), F.round(F.avg("o_totalprice"), 4).alias("mean"))
+
+
+@query("SELECT l_returnflag, round(sum(l_discount * l_quantity) / sum(l_quantity), 6) AS error_rate, count(*) AS blocks FROM lineitem WHERE l_discount > 0 AND l_quantity > 0 GROUP BY l_returnflag")
+def weighted_error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").where("l_discount > 0 and l_quantity > 0")
+    rate = F.sum(F.col("l_discount") * F.col("l_quantity")) / F.sum("l_quantity")
+    return rows.groupBy("l_returnflag").agg(F.round(rate, 6).alias("error_rate"), F.count("*").alias("blocks"))
+
+
+@query("""WITH u AS (SELECT 1 AS prio, lower(p_name) AS id, p_partkey AS k FROM part UNION ALL SELECT 2, lower(p_type), p_partkey FROM part)
+SELECT id, min((prio, k))[1] AS prio, min((prio, k))[2] AS k FROM u GROUP BY id""")
+def distinct_first_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Union of two listings; names are equal regardless of case, and the first source wins."""
+    p = table(spark, sf_dir, "part")
+    both = p.select(F.lit(1).alias("prio"), F.lower("p_name").alias("id"), F.col("p_partkey").alias("k")).unionByName(p.select(F.lit(2).alias("prio"), F.lower("p_type").alias("id"), F.col("p_partkey").alias("k")))
+    return both.groupBy("id").agg(F.min(F.struct("prio", "k")).alias("m")).select("id", "m.prio", "m.k")
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
+def unlabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti")
+
+
+@query("SELECT source, count(*) AS n FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 0) GROUP BY source")
+def labelled_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = table(spark, sf_dir, "labels").where("toxic = 0").select("doc_id")
+    return table(spark, sf_dir, "documents").select("doc_id", "source").join(good, "doc_id", "left_semi").groupBy("source").agg(F.count("*").alias("n"))
+
+
+# Telemetry.
+
+
+def _stages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("stage"), F.col("value").alias("ms"), "ts", "user_id", "props")
+
+
+@query("SELECT event_type AS stage, count(value) AS n, min(value) AS min_ms, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99, max(value) AS max_ms FROM events GROUP BY event_type")
+def stage_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return telemetry.stage_percentiles(_stages(spark, sf_dir))
+
+
+@query("""WITH l AS (SELECT event_type, max(ts) AS last FROM events GROUP BY event_type),
+r AS (SELECT e.event_type AS stage, event_id, row_number() OVER (PARTITION BY e.event_type ORDER BY ts DESC, event_id DESC) AS rnk FROM events e JOIN l USING (event_type) WHERE ts >= last - INTERVAL 86400 SECONDS)
+SELECT stage, event_id, CAST(rnk AS INT) AS rnk FROM r WHERE rnk <= 64""")
+def stage_last_n_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return telemetry.last_samples(_stages(spark, sf_dir), "stage", "ts", "event_id", 64, 86_400).select("stage", "event_id", "rnk")
+
+
+@query("""WITH c AS (SELECT user_id AS agent, max((ts, event_id, event_type, value)) AS m FROM events GROUP BY user_id) SELECT agent, m[2] AS event_id, m[3] AS kind, round(m[4], 6) AS value FROM c WHERE m[3] <> 'purchase'""")
+def membership_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users as agents; a purchase stands for a delete."""
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("agent"), "ts", "event_id", F.when(F.col("event_type") == "purchase", "delete").otherwise(F.col("event_type")).alias("kind"), "value")
+    return telemetry.membership(rows, order=("ts", "event_id")).select("agent", "event_id", "kind", F.round("value", 6).alias("value"))
+
+
+@query("""WITH c AS (SELECT user_id, event_id, ts, CASE WHEN event_type IS DISTINCT FROM lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) THEN 1 ELSE 0 END AS changed FROM events)
+SELECT user_id, event_id, changed, CAST(sum(changed) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS version FROM c""")
+def topology_version(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", "event_type")
+    return telemetry.topology_versions(rows, "user_id", ["ts", "event_id"], "event_type").select("user_id", "event_id", "changed", "version")
+
+
+@query("""WITH r AS (SELECT user_id, event_id, ts, value >= 50 AS ok, sum(CAST(value >= 50 AS INT)) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM events),
+f AS (SELECT *, CAST(sum(CAST(NOT ok AS INT)) OVER (PARTITION BY user_id, run ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS failures FROM r)
+SELECT user_id, event_id, failures, CASE WHEN failures = 0 THEN 'healthy' WHEN failures < 3 THEN 'suspect' ELSE 'down' END AS state FROM f""")
+def agent_health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", (F.col("value") >= 50).alias("ok"))
+    return telemetry.health(rows, "user_id", ["ts", "event_id"], "ok").select("user_id", "event_id", "failures", "state")
+
+
+@query("SELECT date_trunc('hour', ts) AS start, event_type AS stage, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def stage_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return telemetry.tumbling(_stages(spark, sf_dir)).withColumn("total", F.round("total", 4))
+
+
+@query()
+def stage_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return telemetry.rolling(_stages(spark, sf_dir), size="1 day", slide="6 hours")
+
+
+@query()
+def circuit_breaker(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("agent"), "ts", (F.col("value") >= 50).alias("ok"))
+    return telemetry.breaker(rows).groupBy("agent", "state").agg(F.count("*").alias("n"), F.count_if("admitted").alias("admitted"))
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+def json_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k long").k.alias("k"))
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"chunk_dedup_by_lang": chunk_dedup_by_lang}
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"chunk_dedup_by_lang": "SELECT lang, count(*) AS n_docs FROM documents GROUP BY lang"}
+    return dict(_SQL)

@@ -98,7 +98,7 @@ def breaker(calls: DataFrame, key: str = "agent", ts: str = "ts", ok: str = "ok"
     """(key, ts, ok, admitted, state) of each call, by a circuit breaker per key; ties in time go by failed first."""
     kind = dict(calls.dtypes)[key]
     schema = f"{key} {kind}, ts double, ok boolean, admitted boolean, state string"
-    rows = calls.select(key, F.unix_micros(ts).cast("double").alias("ts"), F.col(ok).alias("ok")).withColumn("ts", F.col("ts") / 1e6)
+    rows = calls.select(key, F.unix_micros(F.col(ts).cast("timestamp")).cast("double").alias("ts"), F.col(ok).alias("ok")).withColumn("ts", F.col("ts") / 1e6)
 
     def walk(own, pdf: pd.DataFrame, state: tuple) -> tuple[pd.DataFrame, tuple]:
         out = []
@@ -124,9 +124,10 @@ def backoff_s(attempt: Column) -> Column:
     return F.when(attempt <= 1, 1).when(attempt == 2, 2).when(attempt == 3, 5).when(attempt == 4, 10).otherwise(20)
 
 
-def load_factor(load: Column) -> Column:
-    """Share of the usual parallelism at a load from 0 to 1."""
-    return F.when(load > 0.9, 0.30).when(load > 0.8, 0.50).when(load > 0.7, 0.75).otherwise(1.0)
+def load_factor(cpu: Column, memory: Column) -> Column:
+    """Share of the usual parallelism by the loads (0 to 1) of CPU and memory: the smaller of the two factors."""
+    steps = lambda x, limits: F.when(x >= limits[0], 0.30).when(x >= limits[1], 0.50).when(x >= limits[2], 0.75).otherwise(1.0)
+    return F.least(steps(cpu, (0.80, 0.60, 0.40)), steps(memory, (0.85, 0.70, 0.50)))
 
 
 def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
