@@ -119,10 +119,11 @@ def sample_for_dictionary(entries: DataFrame, n: int = 500, seed: int = 0x5EED5)
     return [bytes(r.blob) for r in rows]
 
 
-def fit_stream(values: np.ndarray, hidden: int = 24, rounds: int = 2000, rate: float = 0.01, seed: int = 1) -> tuple[bytes, float, bytes] | None:
-    """A small neural model of a byte stream: position in, value out, one ReLU layer, 8-bit weights.
+def fit_stream(values: np.ndarray, hidden: int = 24, rounds: int = 2000, rate: float = 0.01, seed: int = 1) -> tuple[bytes, tuple[float, ...], bytes] | None:
+    """A small neural model of a byte stream: position in, value out, one ReLU layer, 8-bit weights with a scale for each
+    of the four groups of weights.
 
-    Returns (weights, scale, residuals mod 256); None for fewer than 32 values or if under a fifth is predicted exactly.
+    Returns (weights, scales, residuals mod 256); None for fewer than 32 values or if under a fifth is predicted exactly.
     """
     n = len(values)
     if n < 32:
@@ -130,7 +131,7 @@ def fit_stream(values: np.ndarray, hidden: int = 24, rounds: int = 2000, rate: f
     x = np.linspace(0, 1, n)[:, None]
     y = values.astype(np.float64)[:, None] / 255
     rng = np.random.default_rng(seed)
-    p = [rng.normal(0, 1, (1, hidden)), rng.normal(0, 0.5, hidden), rng.normal(0, 0.3, (hidden, 1)), np.full(1, y.mean())]
+    p = [rng.normal(0, 1, (1, hidden)), rng.normal(0, 0.5, hidden), np.zeros((hidden, 1)), np.full(1, y.mean())]
     first, second = [np.zeros_like(a) for a in p], [np.zeros_like(a) for a in p]
     for t in range(1, rounds + 1):
         z = x @ p[0] + p[1]
@@ -141,20 +142,18 @@ def fit_stream(values: np.ndarray, hidden: int = 24, rounds: int = 2000, rate: f
             first[i] = 0.9 * first[i] + 0.1 * g
             second[i] = 0.999 * second[i] + 0.001 * g * g
             p[i] = p[i] - rate * (first[i] / (1 - 0.9**t)) / (np.sqrt(second[i] / (1 - 0.999**t)) + 1e-8)
-    flat = np.concatenate([a.ravel() for a in p])
-    scale = 127 / max(1e-9, float(np.abs(flat).max()))
-    weights = np.clip(np.round(flat * scale), -128, 127).astype(np.int8)
-    residuals = values.astype(np.uint8) - _predict(weights, scale, n, hidden)
-    return (weights.tobytes(), scale, residuals.tobytes()) if np.count_nonzero(residuals == 0) * 5 >= n else None
+    scales = tuple(127 / max(1e-9, float(np.abs(a).max())) for a in p)
+    weights = np.concatenate([np.round(a.ravel() * s) for a, s in zip(p, scales, strict=True)]).astype(np.int8)
+    residuals = values.astype(np.uint8) - _predict(weights, scales, n, hidden)
+    return (weights.tobytes(), scales, residuals.tobytes()) if np.count_nonzero(residuals == 0) * 5 >= n else None
 
 
-def _predict(weights: np.ndarray, scale: float, n: int, hidden: int) -> np.ndarray:
-    w = weights.astype(np.float64) / scale
-    a, b, c, d = w[:hidden][None], w[hidden : 2 * hidden], w[2 * hidden : 3 * hidden][:, None], w[3 * hidden]
-    y = np.maximum(np.linspace(0, 1, n)[:, None] @ a + b, 0) @ c + d
-    return np.clip(np.round(y[:, 0] * 255), 0, 255).astype(np.uint8)
+def _predict(weights: np.ndarray, scales: tuple[float, ...], n: int, hidden: int) -> np.ndarray:
+    a, b, c, d = (w / s for w, s in zip(np.split(weights.astype(np.float64), [hidden, 2 * hidden, 3 * hidden]), scales, strict=True))
+    y = np.maximum(np.linspace(0, 1, n)[:, None] * a + b, 0) @ c + d
+    return np.clip(np.round(y * 255), 0, 255).astype(np.uint8)
 
 
-def restore_stream(weights: bytes, scale: float, residuals: bytes, hidden: int = 24) -> bytes:
+def restore_stream(weights: bytes, scales: tuple[float, ...], residuals: bytes, hidden: int = 24) -> bytes:
     r = np.frombuffer(residuals, np.uint8)
-    return (r + _predict(np.frombuffer(weights, np.int8), scale, len(r), hidden)).tobytes()
+    return (r + _predict(np.frombuffer(weights, np.int8), scales, len(r), hidden)).tobytes()
