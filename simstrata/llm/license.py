@@ -82,24 +82,35 @@ def term_array(text: Column) -> Column:
     return F.filter(F.transform(F.split(F.lower(text), SPLIT), lambda x: F.regexp_replace(x, "^[.+-]+|[.+-]+$", "")), lambda x: x != "")
 
 
-def cosines(units: DataFrame, templates=TEMPLATES) -> DataFrame:
-    """(key, license, score): the best template for each (key, unit, text); ``key`` may be a struct."""
-    spark = units.sparkSession
+def cosines(units: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+    """(key, license, score): the best template of at least ``threshold`` for each key of (key, text).
+
+    A unit's vector is made within its row: the sorted terms give counts by their runs. Only hits are shuffled.
+    """
     idf, top, vectors = weights(templates)
-    model = spark.createDataFrame(
-        [(t, w, [(n, v[t]) for n, v in sorted(vectors.items()) if t in v]) for t, w in sorted(idf.items())],
-        "term string, idf double, uses array<struct<name:string,x:double>>",
-    )
-    terms = units.select("key", "unit", F.explode(term_array(F.col("text"))).alias("term")).groupBy("key", "unit", "term").agg(F.count("*").alias("tf"))
-    # The templates' terms: a table fixed by the templates, not by the data.
-    weighted = terms.join(F.broadcast(model), "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(top)))
-    norms = weighted.groupBy("key", "unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = weighted.select("key", "unit", "w", F.explode("uses").alias("use")).groupBy("key", "unit", F.col("use.name").alias("license")).agg(F.sum(F.col("w") * F.col("use.x")).alias("dot"))
-    scored = dots.join(norms, ["key", "unit"]).select("key", "license", (F.col("dot") / F.col("norm")).alias("score"))
-    # Rounded, so that sums taken in another order give the same winner.
-    scored = scored.withColumn("score", F.round("score", 9))
-    best = scored.groupBy("key").agg(F.max("score").alias("score"), F.min_by("license", F.struct(-F.col("score"), F.col("license"))).alias("license"))
-    return best.select("key", "license", "score")
+    known = F.create_map(*(F.lit(x) for t, w in sorted(idf.items()) for x in (t, w)))
+    rows = units.select("key", F.sort_array(term_array(F.col("text"))).alias("s"))
+    changes = lambda i: (i == 1) | (F.get("s", i - 1) != F.get("s", i - 2))
+    rows = rows.where(F.size("s") > 0).withColumn("starts", F.filter(F.sequence(F.lit(1), F.size("s")), changes))
+    runs = F.transform("starts", lambda i, k: F.struct(F.get("s", i - 1).alias("t"), (F.coalesce(F.get("starts", k + 1), F.size("s") + 1) - i).alias("tf")))
+    rows = rows.select("key", runs.alias("runs"))
+    weighted = F.transform("runs", lambda r: F.struct(r.t.alias("t"), (r.tf * F.coalesce(F.try_element_at(known, r.t), F.lit(top))).alias("w")))
+    rows = rows.select("key", weighted.alias("v"))
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda x, r: x + r.w * r.w))
+    shared = F.filter("v", lambda r: F.try_element_at(known, r.t).isNotNull())
+    # The id, which isn't deterministic, keeps filters from being unfolded into the steps above.
+    rows = rows.select("key", norm.alias("norm"), shared.alias("v"), F.monotonically_increasing_id().alias("stop"))
+
+    def scored(name: str):
+        x = F.create_map(*(F.lit(y) for t, w in sorted(vectors[name].items()) for y in (t, w)))
+        dot = F.aggregate("v", F.lit(0.0), lambda a, r: a + r.w * F.coalesce(F.try_element_at(x, r.t), F.lit(0.0)))
+        # Rounded, so that sums taken in another order give the same winner.
+        return F.struct(F.round(dot / F.col("norm"), 9).alias("score"), F.lit(name).alias("license"))
+
+    rows = rows.where((F.size("v") > 0) & (F.col("stop") >= 0)).select("key", F.explode(F.array(*(scored(n) for n in sorted(vectors)))).alias("h"))
+    hits = rows.where(F.col("h.score") >= threshold)
+    best = hits.groupBy("key").agg(F.min_by("h", F.struct(-F.col("h.score"), F.col("h.license"))).alias("h"))
+    return best.select("key", "h.license", "h.score")
 
 
 def scan(df: DataFrame, id_col: str = "doc_id", text: str = "text", path: str = "path", is_file: str = "is_license_file", templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
@@ -111,9 +122,9 @@ def scan(df: DataFrame, id_col: str = "doc_id", text: str = "text", path: str =
     files = files.withColumn("key", F.struct("id", "path", F.xxhash64("text").alias("h")))
     # A regular expression over the whole text comes first: few texts have a trigger at all.
     near = files.where(F.col("text").rlike(pattern))
-    lines = near.select("key", F.posexplode(F.split("text", "\n")).alias("unit", "text")).where(F.col("text").rlike(pattern))
-    whole = near.where("is_file").select("key", F.lit(-1).alias("unit"), "text")
-    best = cosines(lines.unionByName(whole), templates).where(F.col("score") >= threshold)
+    lines = near.select("key", F.explode(F.split("text", "\n")).alias("text")).where(F.col("text").rlike(pattern))
+    whole = near.where("is_file").select("key", "text")
+    best = cosines(lines.unionByName(whole), templates, threshold)
 
     light = files.select("key", "is_file")
     own = light.join(best, "key", "left")
