@@ -2,18 +2,16 @@
 
 Tokens are the words ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased, and one end per text. All training tokens are counted.
 
-The model's vocabulary is the end, the ``vocab - 2`` most frequent words and one class for all other words. The two
-tokens before a token predict it: p(w | u, v) ~ exp((C1 r_u + C2 r_v) . r_w + b_w). Every task trains on all training
-tokens of its partition, starting from the same parameters, with noise drawn from the corpus's class frequencies; the
-tasks' parameters are averaged by their numbers of tokens. So nothing of the corpus is left out, and the driver gets
-one set of parameters, of a size that the data don't change. The logits of all contexts are batched matrix products,
-from which the normaliser of every context is tabulated once; a token's log-probability is then a sum of three table
-entries less the normaliser. A word outside the vocabulary gets the class's probability times its share
-(c + 1) / sum of (c + 1) over the words outside and one unseen word, so probabilities of tokens sum to one.
-
-Counts of the ``head`` most frequent words (of at most 64 bytes) are broadcast, which bounds the size. The counts of
-all other words are joined to the texts' tokens by word; there is no frequent word among them that would make a hot
-key, but for frequent words of over 64 bytes, which the adaptive skew join splits.
+The model's vocabulary is every counted word, the end, and one class for words that were never counted. The two tokens
+before a token predict it by way of groups of words: p(w | u, v) = p(group | q) p(w | group, q) with q = C1 r_u + C2 r_v,
+both factors being log-bilinear. Groups are runs of words in order of frequency, of about p(w) ** -0.5 words each, which
+makes the expected cost of the two normalisers least. Every task trains on all training tokens of its partition, starting
+from the same parameters, with noise drawn from the groups' frequencies and from within the word's own group; the tasks'
+rows of parameters are averaged by how often their words occurred there (a task's rows that were noise only aren't sent). So nothing of the corpus is left out, and what is learned
+grows with the words of the corpus. Normalisers are batched matrix products, so probabilities of tokens sum to one.
+
+Words are known by their 64-bit hashes (two of 10 million words collide with a probability of 3 in a million). The model
+takes some 120 bytes a word in the driver and in each task, and is broadcast in half precision; nothing is shuffled for scoring.
 
 Defined cases: a null text counts as empty: its only token is the end; a text without words likewise; with no training
 rows at all counts are 0 and the model is uniform; rows that repeat id and text are scored alike, one row each; an
@@ -25,16 +23,16 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from simstrata.llm.common import remainder, written
 
-VOCAB, DIM, NOISE, BATCH, RATE, HEAD, HEAD_BYTES, FLUSH = 1024, 24, 32, 1024, 0.1, 131_072, 64, 200_000
+DIM, NOISE, PAIRED, BATCH, RATE, FLUSH, BLOCK = 24, 32, 1, 1024, 0.1, 200_000, 4096
 END = b" "  # can't be a word
 LN10 = math.log(10)
 
@@ -67,121 +65,173 @@ def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(text).mapInArrow(partial, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-class Params:
-    """r: vectors (vocab x dim), b: biases, c: weights of the two places before (2 x dim)."""
-
-    def __init__(self, vocab: int = VOCAB, dim: int = DIM, seed: int = 1) -> None:
-        rng = np.random.default_rng(seed)
-        self.r = rng.normal(0, 0.1, (vocab, dim)).astype(np.float32)
-        self.b = np.zeros(vocab, np.float32)
-        self.c = np.stack([np.full(dim, 1.0), np.full(dim, 0.5)]).astype(np.float32)
-
-    def flat(self) -> np.ndarray:
-        return np.concatenate([self.r.ravel(), self.b, self.c.ravel()])
-
-    def load(self, flat: np.ndarray) -> "Params":
-        v, d = self.r.shape
-        flat = flat.astype(np.float32)
-        self.r, self.b, self.c = flat[: v * d].reshape(v, d), flat[v * d : v * d + v], flat[v * d + v :].reshape(2, d)
-        return self
+def layout(p: np.ndarray) -> np.ndarray:
+    """First ids of the groups: the two special classes, then runs of words."""
+    starts, i = [0], 2
+    while i < len(p):
+        starts.append(i)
+        i += math.ceil(p[i] ** -0.5)
+    return np.array(starts)
 
 
-def train(params: Params, ids: np.ndarray, noise_p: np.ndarray, seed: int, rate: float = RATE, batch: int = BATCH, k: int = NOISE) -> None:
-    """One pass of noise-contrastive estimation over (u, v, w) rows, with one lot of noise shared by each batch."""
+class Params:
+    """One matrix of dim + 1 columns, the last being biases: a row for each word, one for each group, and two whose other
+    columns weigh the two places before."""
+
+    def __init__(self, vocab: int, dim: int = DIM, seed: int = 1, p: np.ndarray | None = None) -> None:
+        p = np.full(vocab, 1 / vocab) if p is None else p
+        self.starts = layout(p)
+        self.sizes = np.diff(np.r_[self.starts, vocab])
+        self.of = np.repeat(np.arange(len(self.starts), dtype=np.int32), self.sizes)
+        self.mass = np.add.reduceat(p, self.starts)
+        self.vocab, n = vocab, len(self.starts)
+        self.m = np.random.default_rng(seed).standard_normal((vocab + n + 2, dim + 1), np.float32)
+        self.m *= np.float32(0.1)
+        self.m[0] = 0  # never seen as context in training
+        self.r, self.b = self.m[:vocab, :dim], self.m[:vocab, dim]
+        self.g, self.gb = self.m[vocab : vocab + n, :dim], self.m[vocab : vocab + n, dim]
+        self.c = self.m[vocab + n :, :dim]
+        self.b[:] = np.log(p / self.mass[self.of])
+        self.gb[:] = np.log(self.mass)
+        self.c[0], self.c[1] = 1.0, 0.5
+
+
+def train(params: Params, ids: np.ndarray, used: np.ndarray, seed: int, rate: float = RATE, batch: int = BATCH, k: int = NOISE, paired: int = PAIRED) -> None:
+    """One pass of noise-contrastive estimation over (u, v, w) rows: for groups with one lot of noise shared by each batch,
+    for words with ``paired`` noise words of each word's group. ``used`` counts each word's uses, but for those as noise."""
     rng = np.random.default_rng(seed)
-    log_kp = np.log(k * noise_p).astype(np.float32)
-    cdf = np.cumsum(noise_p)
+    p, cdf = params, np.cumsum(params.mass)
+    log_kg = np.log(k * p.mass).astype(np.float32)
+    log_kw = np.log(paired / p.sizes).astype(np.float32)  # noise words are equally likely within a group
+    step = rate / math.sqrt(batch)
     for lo in range(0, len(ids), batch):
         u, v, w = ids[lo : lo + batch].T
+        at = p.of[w]
         noise = np.minimum(np.searchsorted(cdf, rng.random(k)), len(cdf) - 1)
-        ru, rv, rw, rn = params.r[u], params.r[v], params.r[w], params.r[noise]
-        q = ru * params.c[0] + rv * params.c[1]
+        others = p.starts[at, None] + (rng.random((len(w), paired)) * p.sizes[at, None]).astype(np.int64)
+        ru, rv, rw, ro, rg, rn = p.r[u], p.r[v], p.r[w], p.r[others], p.g[at], p.g[noise]
+        q = ru * p.c[0] + rv * p.c[1]
         with np.errstate(over="ignore"):
-            g = -1 / (1 + np.exp(np.einsum("ij,ij->i", q, rw) + params.b[w] - log_kp[w]))  # d loss / d s of the words
-            gn = 1 / (1 + np.exp(-(q @ rn.T + params.b[noise] - log_kp[noise])))  # and of the noise
-        gq = g[:, None] * rw + gn @ rn
-        step = rate / math.sqrt(batch)
-        grad_r = np.zeros_like(params.r)
-        np.add.at(grad_r, noise, gn.T @ q)
-        order = np.concatenate([u, v, w])
-        part = np.concatenate([gq * params.c[0], gq * params.c[1], g[:, None] * q])
-        grad_r += _sum_rows(order, part, len(grad_r))
-        grad_b = np.bincount(w, g, len(params.b)) + np.bincount(noise, gn.sum(0), len(params.b))
+            dg = -1 / (1 + np.exp(np.einsum("ij,ij->i", q, rg) + p.gb[at] - log_kg[at]))  # d loss / d s of the groups
+            dn = 1 / (1 + np.exp(-(q @ rn.T + p.gb[noise] - log_kg[noise])))  # and of their noise
+            dw = -1 / (1 + np.exp(np.einsum("ij,ij->i", q, rw) + p.b[w] - log_kw[at]))  # of the words
+            do = 1 / (1 + np.exp(-((ro @ q[:, :, None])[:, :, 0] + p.b[others] - log_kw[at, None])))  # and of theirs
+        gq = dg[:, None] * rg + dn @ rn + dw[:, None] * rw + (do[:, None, :] @ ro)[:, 0]
+        grad_g = np.zeros_like(p.m[p.vocab : p.vocab + len(cdf)])
+        np.add.at(grad_g, noise, np.c_[dn.T @ q, dn.sum(0)])
+        found, sums, _ = _sum_rows(at, np.c_[dg[:, None] * q, dg])
+        grad_g[found] += sums
+        zero = np.zeros((len(u), 1), np.float32)
+        parts = [np.c_[gq * p.c[0], zero], np.c_[gq * p.c[1], zero], np.c_[dw[:, None] * q, dw]]
+        noisy = np.concatenate([do[:, :, None] * q[:, None, :], do[:, :, None]], axis=2).reshape(-1, q.shape[1] + 1)
+        found, sums, _ = _sum_rows(np.concatenate([u, v, w, others.ravel()]), np.concatenate([*parts, noisy]))
         grad_c = np.stack([(gq * ru).sum(0), (gq * rv).sum(0)])
-        params.r -= np.clip(step * grad_r, -0.5, 0.5)
-        params.b -= np.clip(step * grad_b, -0.5, 0.5).astype(np.float32)
-        params.c -= np.clip(step / math.sqrt(batch) * grad_c, -0.1, 0.1)
+        p.m[found] -= np.clip(step * sums, -0.5, 0.5)
+        for x in (u, v, w):
+            np.add.at(used, x, 1)
+        p.m[p.vocab : p.vocab + len(cdf)] -= np.clip(step * grad_g, -0.5, 0.5)
+        p.c -= np.clip(step / math.sqrt(batch) * grad_c, -0.1, 0.1)
 
 
-def _sum_rows(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
-    """Sums of ``rows`` by ``at``."""
+def _sum_rows(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct values of ``at``, the sums of their ``rows``, their numbers)."""
     order = np.argsort(at, kind="stable")
     at = at[order]
     starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-    out = np.zeros((n, rows.shape[1]), np.float32)
-    out[at[starts]] = np.add.reduceat(rows[order], starts, axis=0)
-    return out
+    return at[starts], np.add.reduceat(rows[order].astype(np.float32), starts, axis=0), np.diff(np.r_[starts, len(at)])
+
+
+def hash_of(word: bytes) -> int:
+    """Spark's xxhash64, without its sign."""
+    return xxhash.xxh64_intdigest(word, 42)
+
+
+class Ids:
+    """Ids of words by their hashes; 0 for words that aren't known, 1 for the end, which is no word."""
+
+    def __init__(self, hashes: np.ndarray) -> None:
+        self.order = np.argsort(hashes)
+        self.hashes, self.cache = hashes[self.order], {}
+
+    def __call__(self, words: list[bytes]) -> np.ndarray:
+        if len(self.cache) > FLUSH:
+            self.cache.clear()
+        new = list({w for w in words if w not in self.cache})
+        if new:
+            h = np.array(list(map(hash_of, new)), np.uint64)
+            at = np.minimum(np.searchsorted(self.hashes, h), max(0, len(self.hashes) - 1))
+            ids = np.where(self.hashes[at] == h, self.order[at] + 2, 0) if len(self.hashes) else np.zeros(len(h), np.int64)
+            self.cache.update(zip(new, ids.tolist(), strict=True))
+        return np.array(list(map(self.cache.__getitem__, words)), np.int64)
+
+
+def _log_sum(s: np.ndarray) -> np.ndarray:
+    top = s.max(axis=1)
+    return top + np.log(np.exp(s - top[:, None]).sum(axis=1))
 
 
 class Model:
-    """Tables for scoring: ``first[u, w] + second[v, w] + b[w] - norm[u, v]`` is the log-probability of class w."""
-
-    def __init__(self, params: Params, classes: list[bytes]) -> None:
-        p = params
-        self.classes = classes  # of ids 2 and up; 0 is any other word, 1 the end
-        self.first = (p.r * p.c[0]) @ p.r.T
-        self.second = (p.r * p.c[1]) @ p.r.T
-        self.b = p.b
-        n = 2 + len(classes)
-        self.n = n
-        norm = np.empty((n, n), np.float32)
-        for u in range(n):
-            s = self.first[u, :n] + self.second[:n, :n] + self.b[:n]
-            top = s.max(axis=1)
-            norm[u] = top + np.log(np.exp(s - top[:, None]).sum(axis=1))
-        self.norm = norm
+    """Parameters, hashes of the words of ids 2 and up, and all ids' counts."""
+
+    def __init__(self, params: Params, words: list[bytes] | np.ndarray, counts: np.ndarray | None = None) -> None:
+        self.params, self.counts = params, counts
+        self.hashes = words if isinstance(words, np.ndarray) else np.array(list(map(hash_of, words)), np.uint64)
 
     def logp(self, rows: np.ndarray) -> np.ndarray:
         """Natural log-probabilities of rows (u, v, w)."""
-        u, v, w = rows.T
-        return self.first[u, w].astype(np.float64) + self.second[v, w] + self.b[w] - self.norm[u, v]
-
-
-def rows_of(ids: list[int]) -> np.ndarray:
+        p, out = self.params, np.empty(len(rows))
+        at = p.of[rows[:, 2]]
+        for lo in range(0, len(rows), 4096):
+            u, v, _ = rows[lo : lo + 4096].T
+            s = (p.r[u] * p.c[0] + p.r[v] * p.c[1]) @ p.g.T + p.gb
+            out[lo : lo + 4096] = s[np.arange(len(s)), at[lo : lo + 4096]] - _log_sum(s)
+        order = np.argsort(at, kind="stable")
+        for same in np.split(order, np.flatnonzero(np.diff(at[order])) + 1) if len(order) else []:
+            g = at[same[0]]
+            first, size = p.starts[g], p.sizes[g]
+            some = max(1, (1 << 21) // size)
+            for lo in range(0, len(same), some):
+                k = same[lo : lo + some]
+                u, v, w = rows[k].T
+                s = (p.r[u] * p.c[0] + p.r[v] * p.c[1]) @ p.r[first : first + size].T + p.b[first : first + size]
+                out[k] += s[np.arange(len(s)), w - first] - _log_sum(s)
+        return out
+
+
+def rows_of(ids: np.ndarray) -> np.ndarray:
     """(token before the last, last token, token) rows; both places before a text hold ends."""
     a = np.array([1, 1, *ids, 1])
     return np.stack([a[1:-1], a[:-2], a[2:]], axis=1)  # u: the one right before, v: the one before that
 
 
-def fit(docs: DataFrame, counts: DataFrame, text: str = "text", vocab: int = VOCAB, dim: int = DIM) -> tuple[Model, int]:
+def fit(docs: DataFrame, counts: DataFrame, text: str = "text", dim: int = DIM) -> tuple[Model, int]:
     """The model, and N; ``counts`` are those of ``docs``."""
-    total, = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()
-    ends = counts.where(F.col("word") == F.lit(END)).select("n").collect()
-    top = counts.where((F.col("word") != F.lit(END)) & (F.length("word") <= HEAD_BYTES)).orderBy(F.desc("n"), "word").limit(vocab - 2).collect()
-    classes = [bytes(r.word) for r in top]
-    n_end = ends[0].n if ends else 0
-    noise = np.array([max(1, total - n_end - sum(r.n for r in top)), max(1, n_end), *(r.n for r in top)], dtype=np.float64)
-    noise /= noise.sum()
-    start = Params(2 + len(classes), dim)
-    start.b[:] = np.log(noise)
-    shared = docs.sparkSession.sparkContext.broadcast((start.flat(), classes, noise))
+    sc = docs.sparkSession.sparkContext
+    found = counts.select((F.col("word") == F.lit(END)).alias("end"), F.xxhash64("word").alias("h"), "n").toArrow()
+    end, h, n = (found.column(k).to_numpy() for k in range(3))
+    n_end, h, n = int(n[end].sum()), h[~end].view(np.uint64), n[~end]
+    order = np.lexsort((h, -n))
+    hashes, n = h[order], np.r_[0, n_end, n[order]].astype(np.int64)
+    p = np.maximum(n, 1).astype(np.float64)
+    p /= p.sum()
+    shared = sc.broadcast((hashes, p))
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat, classes, noise = shared.value
-        at = {w: i for i, w in enumerate(classes, 2)}
-        params, seen, held, size = Params(2 + len(classes), dim).load(flat.copy()), 0, [], 0
+        hashes, p = shared.value
+        params, ids, seen, held, size = Params(len(p), dim, p=p), Ids(hashes), 0, [], 0
+        used = np.zeros(len(params.m), np.int32)
 
         def lesson() -> None:
             nonlocal seen, size
             rows = np.concatenate(held)
             np.random.default_rng(len(rows)).shuffle(rows)
-            train(params, rows, noise, seed=seen + len(rows))
+            train(params, rows, used, seed=seen + len(rows))
             seen, size = seen + len(rows), 0
             held.clear()
 
         for batch in batches:
             for t in batch.column(0):
-                rows = rows_of(list(map(at.get, words_of(t.as_py()), repeat(0))))
+                rows = rows_of(ids(words_of(t.as_py())))
                 held.append(rows)
                 size += len(rows)
                 if size > 500_000:
@@ -189,80 +239,64 @@ def fit(docs: DataFrame, counts: DataFrame, text: str = "text", vocab: int = VOC
         if size:
             lesson()
         if seen:
-            out = params.flat().astype(np.float64) * seen
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(out)), pa.int64()), pa.array(out), pa.array(np.full(len(out), float(seen)))], ["i", "x", "n"])
-
-    # As many rows as there are parameters come back, summed where they meet.
-    means = docs.select(text).mapInArrow(learn, "i long, x double, n double").groupBy("i").agg((F.sum("x") / F.sum("n")).alias("x")).collect()
-    params = Params(2 + len(classes), dim).load(start.flat())
-    if means:
-        flat = np.zeros(len(means))
-        flat[[r.i for r in means]] = [r.x for r in means]
-        params.load(flat)
-    return Model(params, classes), int(total)
-
-
-def score(docs: DataFrame, counts: DataFrame, model: Model, total: int, id_col: str = "doc_id", text: str = "text", head: int = HEAD) -> DataFrame:
-    """(id, n_tokens, n_known, base_score, score) for each row of ``docs``."""
-    spark = docs.sparkSession
+            used[len(p) :] = seen
+            for lo in range(0, len(used), BLOCK):
+                at = np.flatnonzero(used[lo : lo + BLOCK]).astype(np.int32)
+                if len(at):
+                    cells = [lo, at.tobytes(), used[lo + at].tobytes(), params.m[lo + at].astype(np.float16).tobytes()]
+                    yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(cells, (pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["block", "at", "n", "x"])
+
+    def mean(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, n = np.zeros((BLOCK, dim + 1)), np.zeros(BLOCK)
+        for batch in batches:
+            for r in batch.to_pylist():
+                at, m = np.frombuffer(r["at"], np.int32), np.frombuffer(r["n"], np.int32)
+                n[at] += m
+                sums[at] += np.frombuffer(r["x"], np.float16).astype(np.float32).reshape(len(at), -1) * m[:, None]
+        at = np.flatnonzero(n).astype(np.int32)
+        x = (sums[at] / n[at, None]).astype(np.float16)
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int64()), pa.array([at.tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary())], ["block", "at", "x"])
+
+    tasks = docs.select(text).mapInArrow(learn, "block long, at binary, n binary, x binary")
+    means = written(tasks.groupBy("block").applyInArrow(mean, "block long, at binary, x binary"), "lm-means")
+    params = Params(len(p), dim, p=p)
+    for r in means.toLocalIterator():
+        at = np.frombuffer(r.at, np.int32)
+        params.m[r.block + at] = np.frombuffer(r.x, np.float16).reshape(len(at), -1)
+    return Model(params, hashes, n), int(n.sum())
+
+
+def score(docs: DataFrame, counts: DataFrame, model: Model, total: int, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, n_tokens, n_known, train_tokens, base_score, score) for each row of ``docs``."""
     v, = counts.agg(F.count("*")).first()
-    fit_in = counts.where(F.length("word") <= HEAD_BYTES)
-    top = {bytes(r.word): r.n for r in fit_in.orderBy(F.desc("n"), "word").limit(head).collect()}
-    in_model = set(model.classes) | {END}
-    # Of the words outside the model and one unseen word: the sum of c + 1.
-    left = total + v + 1 - sum(top[w] + 1 for w in in_model if w in top)
-    shared = spark.sparkContext.broadcast((model, top))
-    log_base, log_left = math.log10(total + v + 1), math.log10(max(1, left))
+    p = model.params
+    # Views would be sent as copies, so the matrix goes alone.
+    shared = docs.sparkSession.sparkContext.broadcast((p.m.astype(np.float16), p.starts, p.sizes, p.of, model.hashes, model.counts))
+    log_base = math.log10(total + v + 1)
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, top = shared.value
-        at = {w: i for i, w in enumerate(model.classes, 2)}
-        log_top = {w: math.log10(n + 1) for w, n in top.items()}
-        end = log_top.get(END, 0.0)
-        names = ["id", "h", "word", "tf", "n_tokens", "n_known", "base", "score"]
+        m, starts, sizes, of, hashes, counts = shared.value
+        m = m.astype(np.float32)
+        p = Params.__new__(Params)
+        p.m, p.starts, p.sizes, p.of, p.vocab = m, starts, sizes, of, len(of)
+        dim, g = m.shape[1] - 1, len(of) + len(starts)
+        p.r, p.b, p.g, p.gb, p.c = m[: p.vocab, :dim], m[: p.vocab, dim], m[p.vocab : g, :dim], m[p.vocab : g, dim], m[g:, :dim]
+        model, ids = Model(p, hashes, counts), Ids(hashes)
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 some = batch.slice(lo, 256)
-                out: list[list] = [[] for _ in names]
-
-                def put(*row) -> None:
-                    for column, x in zip(out, row, strict=True):
-                        column.append(x)
-
-                for k, (i, h, t) in enumerate(zip(some.column(0).to_pylist(), some.column(1).to_pylist(), some.column(2).to_pylist(), strict=True)):
-                    words = words_of(t)
-                    rows = rows_of(list(map(at.get, words, repeat(0))))
-                    base, own, known = end, float(model.logp(rows).sum()) / LN10, 1 if END in top else 0
-                    for w, tf in Counter(words).items():
-                        x = log_top.get(w)
-                        if x is None:
-                            put(i, h, w, tf, None, None, None, None)
-                            continue
-                        known += tf
-                        base += tf * x
-                        if w not in at:
-                            own += tf * (x - log_left)
-                    n = len(words) + 1
-                    # A key that no word has, so that rows of this kind spread over the partitions of the join.
-                    put(i, h, b" %d %d" % (h, k), 0, n, known, base - n * log_base, own)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)], names)
-
-    keyed = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("h"), text)
-    rows = keyed.mapInArrow(parts, "id long, h long, word binary, tf long, n_tokens long, n_known long, base double, score double")
-    # Words of the head aren't among the rows; the join needs the rest of the counts.
-    found = rows.join(counts.withColumnRenamed("n", "c"), "word", "left")
-    gain = F.log10(F.coalesce(F.col("c"), F.lit(0)) + F.lit(1.0))
-    tail = F.col("tf") * (gain - log_left)
-    # Rows that repeat id and text meet here: m of them, with m times the sums.
-    m = F.count("n_tokens")
-    summed = found.groupBy("id", "h").agg(
-        m.alias("m"), (F.sum("n_tokens") / m).cast("long").alias("n_tokens"),
-        ((F.sum("n_known") + F.coalesce(F.sum(F.when(F.col("c").isNotNull(), F.col("tf"))), F.lit(0))) / m).cast("long").alias("n_known"),
-        ((F.sum("base") + F.sum(F.col("tf") * gain)) / m).alias("base_score"), ((F.sum("score") + F.sum(tail)) / m).alias("score"),
-    )
-    each = summed.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("m").cast("int"))))
-    return each.select(F.col("id").alias(id_col), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
+                texts = [rows_of(ids(words_of(t.as_py()))) for t in some.column(1)]
+                lengths = np.array([len(t) for t in texts])
+                rows, firsts = np.concatenate(texts), np.r_[0, np.cumsum(lengths)[:-1]]
+                n = counts[rows[:, 2]]
+                known = np.add.reduceat((n > 0).astype(np.int64), firsts)
+                base = np.add.reduceat(np.log10(n + 1.0), firsts) - lengths * log_base
+                own = np.add.reduceat(model.logp(rows), firsts) / LN10
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(lengths, pa.int64()), pa.array(known), pa.array(base), pa.array(own)], ["id", "n_tokens", "n_known", "base_score", "score"])
+
+    keyed = docs.select(F.col(id_col).cast("long").alias("id"), text)
+    rows = keyed.mapInArrow(parts, "id long, n_tokens long, n_known long, base_score double, score double")
+    return rows.select(F.col("id").alias(id_col), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op2_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
