@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+BLOCK = 1024
+
 
 def sign_bits(vec: str | Column) -> Column:
     """One character per component, '0' where it is negative."""
@@ -62,6 +66,29 @@ def probe_join(queries: DataFrame, store: DataFrame, threshold: float, n_bits: i
     return scored.where(F.col("similarity") >= threshold)
 
 
+def exact_join(queries: DataFrame, store: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+    """As ``probe_join``, but of all pairs: every block of queries meets every block of the store in one matrix product.
+
+    Work grows with the product of the two sizes; no pair is left out. Vectors of other lengths don't meet.
+    """
+    n_q, n_s = (max(1, -(-df.count() // block)) for df in (queries, store))
+    q_type, s_type = dict(queries.dtypes)["q_id"], dict(store.dtypes)["s_id"]
+    deal = lambda name, n: F.pmod(F.xxhash64(name), F.lit(n)).cast("int")
+    copies = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    size = F.size("vec").alias("size")
+    q = with_norm(queries).where("norm > 0").select(deal("q_id", n_q).alias("i"), copies(n_s).alias("j"), size, "q_id", F.col("vec").cast("array<double>").alias("vec"), "norm")
+    s = with_norm(store).where("norm > 0").select(copies(n_q).alias("i"), deal("s_id", n_s).alias("j"), size, "s_id", F.col("vec").cast("array<double>").alias("vec"), "norm")
+
+    def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"q_id": a["q_id"][:0], "s_id": b["s_id"][:0], "similarity": np.zeros(0)})
+        cosine = np.stack(a["vec"]) @ np.stack(b["vec"]).T / (a["norm"].to_numpy()[:, None] * b["norm"].to_numpy())
+        x, y = np.nonzero(cosine >= threshold)
+        return pd.DataFrame({"q_id": a["q_id"].to_numpy()[x], "s_id": b["s_id"].to_numpy()[y], "similarity": cosine[x, y]})
+
+    return q.groupBy("i", "j", "size").cogroup(s.groupBy("i", "j", "size")).applyInPandas(compare, f"q_id {q_type}, s_id {s_type}, similarity double")
+
+
 def top_k(matches: DataFrame, k: int, by: str = "q_id", other: str = "s_id") -> DataFrame:
     """The ``k`` most similar per query, ties to the smaller id; ``rnk`` from 1. Spark trims each task's groups first."""
     w = Window.partitionBy(by).orderBy(F.desc("similarity"), other)

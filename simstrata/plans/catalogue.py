@@ -30,6 +30,14 @@ m AS (SELECT a.vec_id AS q_id, b.vec_id AS s_id, list_dot_product(a.v, b.v) / (a
       FROM s a JOIN s b ON a.vec_id <> b.vec_id AND bit_count(xor(CAST(a.bucket_id AS BIGINT), CAST(b.bucket_id AS BIGINT))) <= 1 WHERE a.norm > 0 AND b.norm > 0),
 k AS (SELECT * FROM m WHERE similarity >= {SIMILAR})"""
 
+#: All pairs, whatever their bits.
+EXACT_SQL = f"""e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+s AS (SELECT vec_id, v, sqrt(list_dot_product(v, v)) AS norm FROM e),
+m AS (SELECT a.vec_id AS q_id, b.vec_id AS s_id, list_dot_product(a.v, b.v) / (a.norm * b.norm) AS similarity
+      FROM s a JOIN s b ON a.vec_id <> b.vec_id WHERE a.norm > 0 AND b.norm > 0),
+k AS (SELECT * FROM m WHERE similarity >= {SIMILAR}),
+r AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY similarity DESC, s_id) AS rnk FROM k)"""
+
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
@@ -183,6 +191,42 @@ def second_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.select("q_id", "s_id", F.round("similarity", 4).alias("similarity"))
 
 
+# The same over all pairs: the queries above see those that the probes meet.
+
+
+def _all_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = _vectors(spark, sf_dir)
+    pairs = similarity.exact_join(v.select(F.col("vec_id").alias("q_id"), "vec"), v.select(F.col("vec_id").alias("s_id"), "vec"), SIMILAR)
+    return pairs.where("q_id != s_id")
+
+
+@query(f"WITH {EXACT_SQL} SELECT q_id, s_id, round(similarity, 4) AS similarity FROM k")
+def sim_join_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _all_matches(spark, sf_dir).withColumn("similarity", F.round("similarity", 4))
+
+
+@query(f"WITH {EXACT_SQL} SELECT q_id, s_id, CAST(rnk AS INT) AS rnk FROM r WHERE rnk <= 10")
+def exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity.top_k(_all_matches(spark, sf_dir), 10).select("q_id", "s_id", "rnk")
+
+
+@query(f"WITH {EXACT_SQL} SELECT q_id, s_id, round(similarity, 4) AS similarity FROM r WHERE rnk = 1")
+def exact_best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity.best_match(_all_matches(spark, sf_dir)).withColumn("similarity", F.round("similarity", 4))
+
+
+@query(f"WITH {EXACT_SQL} SELECT vec_id AS q_id, count(k.s_id) = 0 AS fresh FROM s LEFT JOIN k ON k.q_id = s.vec_id GROUP BY vec_id")
+def exact_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = _vectors(spark, sf_dir).select(F.col("vec_id").alias("q_id"))
+    return similarity.with_default(q, similarity.best_match(_all_matches(spark, sf_dir))).select("q_id", "fresh")
+
+
+@query(f"WITH {EXACT_SQL} SELECT q_id, s_id, round(similarity, 4) AS similarity FROM r WHERE rnk = 2")
+def exact_second_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranked = similarity.top_k(_all_matches(spark, sf_dir), 2).where("rnk = 2")
+    return ranked.select("q_id", "s_id", F.round("similarity", 4).alias("similarity"))
+
+
 @query("""WITH e AS (SELECT vec_id, label, generate_subscripts(embedding, 1) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),
 m AS (SELECT label, i, avg(x) AS m FROM e GROUP BY ALL),
 d AS (SELECT label, vec_id, round(sum(abs(x - m)), 9) AS far FROM e JOIN m USING (label, i) GROUP BY ALL)

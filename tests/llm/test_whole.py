@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from simstrata.llm import lm
+from simstrata.operators import similarity
+from simstrata.plans import catalogue
 
 
 def test_lm_knows_every_counted_word(spark):
@@ -21,3 +24,15 @@ def test_lm_knows_every_counted_word(spark):
     assert abs(np.exp(model.logp(everything)).sum() - 1) < 1e-4
     assert np.abs(model.params.r - lm.Params(2003, p=np.maximum(model.counts, 1) / np.maximum(model.counts, 1).sum()).r)[1:].sum(axis=1).min() > 0
     assert model.logp(np.array([(a, b, b)]))[0] != model.logp(np.array([(c, a, b)]))[0]  # rare words are context
+
+
+def test_exact_join_sees_all_pairs(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()
+    x = np.array([r.embedding for r in rows], dtype=np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    i, j = np.nonzero(x @ x.T >= catalogue.SIMILAR)
+    want = sorted((rows[a].vec_id, rows[b].vec_id) for a, b in zip(i, j, strict=True) if a != b)
+    assert sorted((r.q_id, r.s_id) for r in catalogue.queries()["sim_join_threshold"](spark, sf_dir).collect()) == want
+    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.col("embedding").alias("vec"))
+    small = similarity.exact_join(v.withColumnRenamed("vec_id", "q_id"), v.withColumnRenamed("vec_id", "s_id"), catalogue.SIMILAR, block=37)
+    assert sorted((r.q_id, r.s_id) for r in small.where("q_id != s_id").collect()) == want
