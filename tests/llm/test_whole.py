@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from simstrata.llm import lm
+from simstrata.llm import lm, neardup
 from simstrata.operators import similarity
 from simstrata.plans import catalogue
 
@@ -36,3 +36,21 @@ def test_exact_join_sees_all_pairs(spark, sf_dir):
     v = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.col("embedding").alias("vec"))
     small = similarity.exact_join(v.withColumnRenamed("vec_id", "q_id"), v.withColumnRenamed("vec_id", "s_id"), catalogue.SIMILAR, block=37)
     assert sorted((r.q_id, r.s_id) for r in small.where("q_id != s_id").collect()) == want
+
+
+def test_rare_words_have_their_own_weight(spark):
+    """Common words fill the head; the weights of words beyond it still decide who is near."""
+    own = [" ".join(f"w{i}x{j}" for j in range(40)) for i in range(6)]
+    mid = " ".join(f"m{j}" for j in range(12))
+    rows = [(i, f"{own[i]} {mid}") for i in range(6)] + [(10 + i, own[i]) for i in range(6)] + [(20 + i, f"{mid} {'z' * 80} u{i}") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    answer = lambda head: sorted((r.id, r.class_id) for r in neardup.classes(df, head=head).collect())
+    assert answer(neardup.HEAD) == answer(3) == answer(0)
+    counted = neardup.document_frequencies(df).collect()
+    n = {r.word: r.n for r in counted}
+    small = neardup._weights(df, "text", 3)
+    model = spark.sparkContext.broadcast(small)
+    for r in neardup._tails(df.withColumn("digest", neardup.digest()), neardup.document_frequencies(df), model).collect():
+        got = neardup.Weigher(*small).shingles(r.text, neardup._pairs_of(r.tail))[1]
+        exact = neardup.Weigher({w: float(np.log(1 + len(rows) / k)) for w, k in n.items()}, 0.0).shingles(r.text)[1]
+        assert np.allclose(got, exact)
