@@ -365,11 +365,19 @@ def ccf_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def container_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a container, which is read back, and its blocks rebuilt from it and the store."""
     files = _files(spark, sf_dir)
-    blobs, _ = store.compress(files, store.empty_store(spark), SIZE, block=4096)
+    blobs, new = store.compress(files, store.empty_store(spark), SIZE, block=4096)
     whole = store.containers(blobs, files)
     found = whole.select("file_id", F.length("blob").alias("n_bytes"), F.substring("blob", 1, 3).cast("string").alias("magic"))
-    return found
+    read = store.uncontained(whole)
+    back = store.decompress(read.select("file_id", "block_idx", "blob", "original_len"), new)
+    joined = back.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("block_idx", "bytes"))).alias("b"), F.min("ok").alias("ok"), F.count("*").alias("n"))
+    rebuilt = F.sha2(F.aggregate("b", F.lit(b""), lambda x, r: F.concat(x, r.bytes)), 256)
+    held = read.groupBy("file_id").agg(F.any_value("sha").alias("sha"), F.count("*").alias("blocks"))
+    checked = files.select("file_id", F.sha2("bytes", 256).alias("want")).join(held, "file_id", "left").join(joined, "file_id", "left")
+    good = F.col("ok") & (F.col("n") == F.col("blocks")) & (F.col("sha") == F.col("want")) & (rebuilt == F.col("want"))
+    return found.join(checked.select("file_id", F.coalesce(good, F.lit(False)).alias("ok")), "file_id")
 
 
 @query()
@@ -383,7 +391,8 @@ def pframe_savings(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def pack_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = _files(spark, sf_dir)
-    entries = files.select("file_id", F.sha2(F.substring("bytes", 1, SIZE), 256).alias("family"), F.col("bytes").alias("blob"))
+    least = _chunks(spark, sf_dir).groupBy("file_id").agg(F.min(chunking.guid()).alias("family"))
+    entries = files.join(least, "file_id", "left").select("file_id", F.coalesce("family", F.concat(F.lit("exact:"), F.col("file_id").cast("string"))).alias("family"), F.col("bytes").alias("blob"))
     back = families.unframed(families.frames(entries))
     return back.join(files, "file_id").select("file_id", (F.col("blob") == F.col("bytes")).alias("ok"))
 

@@ -54,3 +54,9 @@ def test_rare_words_have_their_own_weight(spark):
         got = neardup.Weigher(*small).shingles(r.text, neardup._pairs_of(r.tail))[1]
         exact = neardup.Weigher({w: float(np.log(1 + len(rows) / k)) for w, k in n.items()}, 0.0).shingles(r.text)[1]
         assert np.allclose(got, exact)
+
+
+def test_containers_are_read_back(spark, sf_dir):
+    rows = catalogue.queries()["container_roundtrip"](spark, sf_dir).collect()
+    assert len(rows) == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+    assert all(r.ok for r in rows)
