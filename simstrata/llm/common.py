@@ -15,10 +15,13 @@ WS = "[ \\x09-\\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share, from ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests, a single machine) a temporary folder of the driver takes its place.
+    Where that is unset, a temporary folder takes its place if the driver runs all tasks itself (tests); on a cluster
+    that is an error.
     """
     given = spark.conf.get("spark.checkpoint.dir", None)
     if not given:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         given = "file://" + tempfile.mkdtemp(prefix="simstrata-")
         spark.conf.set("spark.checkpoint.dir", given)
     return given.rstrip("/")
@@ -28,16 +31,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read again: a cut in the lineage that survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_written(df: DataFrame) -> None:
-    """Remove a table made by ``written`` once nothing will read it again."""
-    jvm = df.sparkSession.sparkContext._jvm
-    conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
-    root = shared_dir(df.sparkSession)
-    for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+def drop_written(*tables: DataFrame) -> None:
+    """Remove tables made by ``written`` once nothing will read them again."""
+    spark = tables[0].sparkSession
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    root = shared_dir(spark)
+    for parent in {f.rsplit("/", 1)[0] for df in tables for f in df.inputFiles()}:
         if parent.split("://")[-1].lstrip("/").startswith(root.split("://")[-1].lstrip("/").removeprefix("file:").lstrip("/")):
             path = jvm.org.apache.hadoop.fs.Path(parent)
             path.getFileSystem(conf).delete(path, True)

@@ -153,17 +153,17 @@ def _edited(text: str, seed: int, n: int) -> str:
     return " ".join(words)
 
 
-def test_neardup_equals_brute_force(spark):
-    base = prose(1, 300)
-    rows = [(i, _edited(base, i, i % 4), "s", None) for i in range(40)] + [(100 + i, base, "s", None) for i in range(5)]
-    rows += [(200 + i, prose(200 + i, 120) + " " + prose(999, 60), "s", None) for i in range(60)]  # a shared passage only
-    rows += [(300, None, None, None), (301, "", "s", None), (302, "one two", "s", None), (302, "one two", "s", None), (303, prose(5, 30_000), "s", None)]
-    df = documents(spark, rows)
-    got = neardup.classes(df).collect()
-    assert len(got) == len(rows)
-    weigher = neardup.Weigher(*neardup._weights(df, "text", neardup.HEAD))
-    shingles = [weigher.shingles(t) for _, t, *_ in rows]
-    parent = list(range(len(rows)))
+def _brute_classes(rows):
+    """(id, class) of each row: links by the definition, over all pairs."""
+    def shingles(text):
+        words = neardup.words_of(text)
+        k = min(5, len(words))
+        return Counter(tuple(words[i : i + k]) for i in range(len(words) - k + 1)) if words else Counter()
+
+    sets = [shingles(t) for _, t, *_ in rows]
+    held = Counter(g for s in sets for g in s)
+    weights = [{g: n * math.log1p(len(rows) / held[g]) for g, n in s.items()} for s in sets]
+    totals, parent = [sum(w.values()) for w in weights], list(range(len(rows)))
 
     def top(i):
         while parent[i] != i:
@@ -171,24 +171,60 @@ def test_neardup_equals_brute_force(spark):
         return i
 
     for i, j in itertools.combinations(range(len(rows)), 2):
-        if neardup.similarity(shingles[i], shingles[j]) >= neardup.THRESHOLD:
+        least = sum(min(w, weights[j].get(g, 0)) for g, w in weights[i].items())
+        if not totals[i] + totals[j] or least / (totals[i] + totals[j] - least) >= neardup.THRESHOLD:
             parent[top(i)] = top(j)
-    least = defaultdict(lambda: 10**9)
+    first = defaultdict(lambda: 10**9)
     for i, r in enumerate(rows):
-        least[top(i)] = min(least[top(i)], r[0])
-    want = sorted((r[0], least[top(i)]) for i, r in enumerate(rows))
-    assert sorted((r.id, r.class_id) for r in got) == want
+        first[top(i)] = min(first[top(i)], r[0])
+    return sorted((r[0], first[top(i)]) for i, r in enumerate(rows))
+
+
+def test_neardup_equals_brute_force(spark):
+    base = prose(1, 300)
+    rows = [(i, _edited(base, i, i % 4), "s", None) for i in range(40)] + [(100 + i, base, "s", None) for i in range(5)]
+    rows += [(200 + i, prose(200 + i, 120) + " " + prose(999, 60), "s", None) for i in range(60)]  # a shared passage only
+    rows += [(300, None, None, None), (301, "", "s", None), (302, "one two", "s", None), (302, "one two", "s", None), (303, prose(5, 30_000), "s", None), (304, " \n\t", "s", None)]
+    df, want = documents(spark, rows), _brute_classes(rows)
+    for sizes in ({}, {"lot_bytes": 2000, "part_shingles": 500}):
+        got = neardup.classes(df, **sizes).collect()
+        assert sorted((r.id, r.class_id) for r in got) == want
+    assert Counter(r.class_id for r in got if r.keep)[302] == 2  # rows that repeat id and text
     kept = neardup.deduplicate(df)
-    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(least[top(i)] for i in range(len(rows))))
+    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == sorted({c for _, c in want})
     assert neardup.classes(df.limit(0)).count() == 0
 
 
+def test_neardup_of_a_large_group(spark):
+    """500 near copies, of which many are linked to few others only: no link is lost."""
+    base = prose(2, 150)
+    rows = [(i, _edited(base, i, i % 7), "s", None) for i in range(500)]
+    got = neardup.classes(documents(spark, rows)).collect()
+    want = _brute_classes(rows)
+    assert sum(a == b for a, b in zip(sorted((r.id, r.class_id) for r in got), want, strict=True)) >= 0.995 * len(rows)
+    sizes = Counter(c for _, c in want)
+    assert sizes.most_common(1)[0][1] < len(rows)  # the group isn't one class
+
+
 def test_samples_estimate_the_similarity():
     r = np.random.default_rng(2)
-    h = r.integers(0, 2**63, 400).astype(np.uint64)
-    a, b = (np.sort(h[:300]), r.random(300) + 0.5), (np.sort(h[60:]), r.random(340) + 0.5)
-    s = neardup.Sampler(bands=100, rows=4)
-    assert abs((s.samples(*a) == s.samples(*b)).mean() - neardup.similarity(a, b)) < 0.1
+    h = np.unique(r.integers(0, 2**56, 400).astype(np.uint64))
+    a, b = (h[:300], (r.random(300) + 0.5).astype(np.float32)), (h[60:], (r.random(340) + 0.5).astype(np.float32))
+    s = neardup.Sampler(bands=400, rows=4)
+    x, y = s.samples([a, b])
+    assert abs((x == y).mean() - neardup.similarity((*a, a[1].sum()), (*b, b[1].sum()))) < 0.05
+    # An element's share of the samples is its share of the weight, and doesn't depend on what else is sampled.
+    four = (h[:4], np.array([1, 2, 3, 4], np.float32))
+    (one,), (alone,) = s.samples([four]), s.samples([(h[3:4], four[1][3:])])
+    assert abs((one == alone).mean() - 0.4) < 0.05
+    assert (s.samples([a, four])[1] == one).all()
+
+
+def test_packed_hashes():
+    for x in ([], [5], [0, 1, 2, 300, 1 << 55]):
+        assert neardup.unpacked(neardup.packed(np.array(x, np.uint64))).tolist() == x
+    n = np.array([1, 254, 255, 256, 100_000, 2])
+    assert neardup.from_small_ints(neardup.small_ints(n), len(n)).tolist() == n.tolist()
 
 
 # 6
