@@ -1,19 +1,22 @@
 """Operator 9: byte-level BPE encoding and decoding by a monoid tree reduction.
 
-A text is halved down to leaves, each leaf is encoded on its own, and neighbours are joined bottom-up. A join
-re-encodes a window around the seam and grows it until both of its edges are *provably stable*; the tokens outside
-the window are kept as they are. Two kinds of edges are stable:
+The encoding of a run of bytes is a sequence of tokens, and two encodings are joined by re-encoding a window around the
+seam, which grows until the tokens outside are *provably stable*. A sequence of tokens is the encoding of its bytes
+exactly if all neighbouring pairs are compatible, i.e. the joined bytes of a pair encode to the same two tokens. (This
+needs every token of the vocabulary to encode to itself, which the tests check for the whole vocabulary.) So a window is
+large enough as soon as its first and last token are compatible with their neighbours outside.
+
+Reduction goes on at two levels. Within a match of the pattern the bytes are halved down to ``LEAF_BYTES``, leaves are
+merged by rank, and halves are joined as said. A text is halved down to ``leaf`` characters, and its joins re-encode a
+window of text up to edges that are stable on both sides:
 
 * an edge between a character that is no white space and a white space character. No match of the pattern spans it
   and no look-ahead reaches over it, so the pattern splits the text there whatever stands on either side;
 * an edge between two letters or two digits, not within two characters of an apostrophe (no contraction reaches over
-  it), at which the tokens on both sides form a compatible pair, i.e. encoding their joined bytes gives the same two
-  tokens again. A sequence of tokens is the encoding of its bytes exactly if all neighbouring pairs are compatible
-  (this needs every token of the vocabulary to encode to itself, which ``Encoder`` checks on first use of a pair and
-  the tests check for the whole vocabulary).
+  it), at which the tokens on both sides are compatible.
 
-If neither kind is found, the window reaches the ends of the text, where nothing is outside. Decoding concatenates the
-bytes of the tokens up the same kind of tree.
+If neither kind is found, the window reaches the ends of the text, where nothing is outside. Neither of the leaf sizes
+changes any result. Decoding concatenates the bytes of the tokens up the same kind of tree.
 
 Defined cases: null texts count as empty and have no tokens; very long texts only deepen the tree; repeated rows are
 encoded one by one; an empty table gives an empty table; all other columns are passed through, and a column that has
@@ -23,7 +26,9 @@ the name of an output is replaced.
 from __future__ import annotations
 
 import base64
+import heapq
 from collections.abc import Iterator
+from itertools import chain, pairwise
 
 import numpy as np
 import pandas as pd
@@ -33,8 +38,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-#: Characters in a leaf; a pair cache is emptied at this many entries.
-LEAF, CACHE = 2048, 200_000
+#: Characters and bytes in a leaf; caches are emptied at this many entries; windows from this size on are merged by a heap.
+LEAF, LEAF_BYTES, CACHE, LARGE = 2048, 16, 400_000, 64
 
 _EDGE = regex.compile(r"\S(?=\s)")
 _CACHE: dict[int, "Encoder"] = {}
@@ -45,31 +50,101 @@ def parse_ranks(data: bytes) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in (line.split() for line in data.splitlines() if line)}
 
 
+class _Pieces(dict):
+    """Match of the pattern to its ids; those of new ones are worked out."""
+
+    def __init__(self, new) -> None:
+        self.new = new
+
+    def __missing__(self, match: str) -> list[int]:
+        if len(self) >= CACHE:
+            self.clear()
+        found = self[match] = self.new(match.encode())
+        return found
+
+
 class Encoder:
     """Tree encoder for one vocabulary and one pattern."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, leaf: int = LEAF) -> None:
-        import tiktoken
-
-        self.leaf = max(4, leaf)
-        self.bytes_of: dict[int, bytes] = {i: t for t, i in ranks.items()}
-        self.length = np.zeros(max(self.bytes_of) + 1, dtype=np.int64)
-        for i, t in self.bytes_of.items():
-            self.length[i] = len(t)
-        self.length = self.length.tolist()
-        encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.plain = encoding.encode_ordinary
-        self.piece = encoding._core_bpe.encode_single_piece
+    def __init__(self, ranks: dict[bytes, int], pattern: str, leaf: int = LEAF, leaf_bytes: int = LEAF_BYTES) -> None:
+        self.leaf, self.leaf_bytes, self.ranks = max(4, leaf), max(1, leaf_bytes), ranks
+        self.bytes_of = [b""] * (max(ranks.values()) + 1)
+        for t, i in ranks.items():
+            self.bytes_of[i] = t
+        self.length = [len(t) for t in self.bytes_of]
+        self.matches = regex.compile(pattern).findall
+        self.pieces = _Pieces(self.piece)
         self.pairs: dict[tuple[int, int], bool] = {}
 
+    def merge(self, data: bytes) -> list[int]:
+        """Ids of a run of bytes: the neighbours whose union has the least rank are merged, the leftmost first."""
+        if len(data) >= LARGE:
+            return self._merge_large(data)
+        rank, none, cuts = self.ranks.get, len(self.bytes_of), list(range(len(data) + 1))
+        ranks = [rank(data[i : i + 2], none) for i in range(len(data) - 1)]
+        while ranks and (least := min(ranks)) < none:
+            i = ranks.index(least)
+            del cuts[i + 1], ranks[i]
+            if i < len(ranks):
+                ranks[i] = rank(data[cuts[i] : cuts[i + 2]], none)
+            if i:
+                ranks[i - 1] = rank(data[cuts[i - 1] : cuts[i + 1]], none)
+        return [self.ranks[data[i:j]] for i, j in pairwise(cuts)]
+
+    def _merge_large(self, data: bytes) -> list[int]:
+        """The same, by a heap over linked parts."""
+        n, rank = len(data), self.ranks.get
+        end, before = list(range(1, n + 1)), list(range(-1, n))  # where the part that begins at i ends; where the one before begins
+        alive = bytearray(b"\1") * n
+        queue = [(r, i, i + 2) for i in range(n - 1) if (r := rank(data[i : i + 2])) is not None]
+        heapq.heapify(queue)
+        while queue:
+            _, i, stop = heapq.heappop(queue)
+            middle = end[i]
+            if not alive[i] or middle >= n or not alive[middle] or end[middle] != stop:
+                continue  # one of the two has been merged since
+            alive[middle], end[i] = 0, stop
+            if stop < n:
+                before[stop] = i
+                if (r := rank(data[i : end[stop]])) is not None:
+                    heapq.heappush(queue, (r, i, end[stop]))
+            if (left := before[i]) >= 0 and (r := rank(data[left:stop])) is not None:
+                heapq.heappush(queue, (r, left, stop))
+        return [self.ranks[data[i : end[i]]] for i in range(n) if alive[i]]
+
+    def piece(self, data: bytes) -> list[int]:
+        """Ids of the bytes of one match, by tree reduction."""
+        known = self.ranks.get(data)
+        if known is not None:
+            return [known]
+        if len(data) <= self.leaf_bytes:
+            return self.merge(data)
+        mid = len(data) // 2
+        return self.joined(self.piece(data[:mid]), self.piece(data[mid:]))
+
+    def joined(self, left: list[int], right: list[int]) -> list[int]:
+        """The encoding of the bytes of two encodings."""
+        i = j = 1
+        while True:
+            window = self.merge(b"".join(map(self.bytes_of.__getitem__, left[-i:] + right[:j])))
+            stable_left = i >= len(left) or self.compatible(left[-i - 1], window[0])
+            stable_right = j >= len(right) or self.compatible(window[-1], right[j])
+            if stable_left and stable_right:
+                return left[: max(0, len(left) - i)] + window + right[j:]
+            i, j = i if stable_left else 2 * i, j if stable_right else 2 * j
+
     def compatible(self, a: int, b: int) -> bool:
         known = self.pairs.get((a, b))
         if known is None:
             if len(self.pairs) >= CACHE:
                 self.pairs.clear()
-            known = self.pairs[a, b] = self.piece(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
+            known = self.pairs[a, b] = self.merge(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
         return known
 
+    def plain(self, text: str) -> list[int]:
+        """Ids of a text that isn't halved any more: those of its matches."""
+        return list(chain.from_iterable(map(self.pieces.__getitem__, self.matches(text))))
+
     def encode(self, text: str) -> list[int]:
         return self._node(text, 0, len(text))
 

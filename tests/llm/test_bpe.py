@@ -15,9 +15,9 @@ RANKS = bpe.parse_ranks(open(P.path("byte_bpe_50k.tiktoken"), "rb").read())
 TRUE = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=RANKS, special_tokens={})
 
 
-@pytest.fixture(scope="module", params=[4, 9, 64])
+@pytest.fixture(scope="module", params=[(4, 1), (9, 2), (64, 8), (10**9, 5)])
 def small(request):
-    return bpe.Encoder(RANKS, P.PATTERN, leaf=request.param)
+    return bpe.Encoder(RANKS, P.PATTERN, *request.param)
 
 
 def by_merging(word: bytes) -> list[bytes]:
@@ -34,6 +34,14 @@ def test_every_token_encodes_to_itself():
     assert all(by_merging(t) == [t] for t in RANKS)
 
 
+def test_merges_by_heap_equal_plain_ones():
+    encoder, r = bpe.Encoder(RANKS, P.PATTERN), np.random.default_rng(3)
+    for n in (1, 2, 63, 64, 65, 300):
+        for letters in (b"a", b"ab", b"the in", bytes(range(256))):
+            data = bytes(r.choice(list(letters), n).tolist())
+            assert [encoder.bytes_of[i] for i in encoder._merge_large(data)] == by_merging(data) == [encoder.bytes_of[i] for i in encoder.merge(data)]
+
+
 @pytest.mark.parametrize("text", [
     "", "a", "'", "it's they're we'll'll'llama I'd've", "a" * 5000, "ab" * 3000, " " * 3000, "1234567" * 400, "!?'" * 900,
     "x  y\n\n\t z  w" * 90, "äöüß" * 700, "日本語テキスト" * 300, "𝒳😀" * 400, "don't" * 500, "re're" * 300, "\r\n" * 700,
@@ -68,7 +76,7 @@ _ENCODERS: dict[int, bpe.Encoder] = {}
 
 def _cached(leaf):
     if leaf not in _ENCODERS:
-        _ENCODERS[leaf] = bpe.Encoder(RANKS, P.PATTERN, leaf=leaf)
+        _ENCODERS[leaf] = bpe.Encoder(RANKS, P.PATTERN, leaf, leaf % 7)
     return _ENCODERS[leaf]
 
 
