@@ -328,18 +328,49 @@ def test_license_cases(spark):
     rows = [
         (1, mit, "a/LICENSE", True), (2, "plain words", "a/x.txt", False), (3, "plain", "a/b/c/y.txt", False), (4, f"text\n# {gpl}\nmore", "a/b/z.txt", False),
         (5, None, "a/b/n.txt", False), (6, "plain", "q/x.txt", False), (7, "plain", None, None), (8, "word " * 20_000, "a/long.txt", False), (8, "word " * 20_000, "a/long.txt", False),
-        (9, gpl, "a/b/c/LICENSE", True), (10, "The licence was lost long ago.", "q/y.txt", False),
+        (9, gpl, "a/b/c/LICENSE", True), (10, "The licence was lost long ago.", "q/y.txt", False), (11, "plain", "a/" + "d/" * 300 + "deep.txt", False), (12, "plain", "ab/x.txt", False),
     ]
     df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, path string, is_license_file boolean, license string")
     got = sorted((r.doc_id, r.license, r.effective_license, r.inherited_from) for r in license.scan(df).collect())
     by = {g[0]: g[1:] for g in got}
     assert len(got) == len(rows)
     assert by[1] == ("MIT", "MIT", None) and by[2] == (None, "MIT", "a") and by[4][0] == "GPL-3.0"
-    assert by[3] == (None, "GPL-3.0", "a/b/c") and by[5] == (None, "MIT", "a") and by[8] == (None, "MIT", "a")
-    assert by[6] == by[7] == by[10] == (None, None, None)
+    assert by[3] == (None, "GPL-3.0", "a/b/c") and by[5] == (None, "MIT", "a") and by[8] == (None, "MIT", "a") and by[11] == (None, "MIT", "a")
+    assert by[6] == by[7] == by[10] == by[12] == (None, None, None)
     assert license.scan(df.limit(0)).count() == 0
 
 
+LICENSED = [
+    ("// SPDX-License-Identifier: MIT", "MIT"), ("SPDX-License-Identifier: Apache-2.0", "Apache-2.0"), ("SPDX-License-Identifier: Some-Other", None),
+    ("This project is released under the MIT License. See LICENSE for details.", "MIT"),
+    ("#!/bin/sh\n# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version.\n\nx = 1", "GPL-3.0"),
+    (" * Licensed under the Apache License, Version 2.0 (the \"License\");\n * you may not use this file except in compliance with the License.\n * You may obtain a copy of the License at", "Apache-2.0"),
+    ("GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007", "GPL-3.0"), ("Public transport is free for all who hold a license.", None),
+]
+
+
+def test_license_headers(spark):
+    df = spark.createDataFrame([(i, text, "x/y", False) for i, (text, _) in enumerate(LICENSED)], "doc_id long, text string, path string, is_license_file boolean")
+    assert [r.license for r in license.scan(df).orderBy("doc_id").collect()] == [want for _, want in LICENSED]
+
+
+def test_license_texts_and_triggers(spark):
+    from simstrata.llm.license_texts import HEADERS, TEXTS
+
+    rows = [(i, f"Copyright (c) 20{i:02} A. Nyone\n\n{t}\n", f"d{i}/LICENSE", True) for i, (_, t) in enumerate(TEXTS)]
+    got = {r.doc_id: r.license for r in license.scan(spark.createDataFrame(rows, "doc_id long, text string, path string, is_license_file boolean")).collect()}
+    assert got == {i: n for i, (n, _) in enumerate(TEXTS)}
+    held = set(license.triggers())
+    for _, vector in license.weights(HEADERS)[2]:
+        assert sum(x * x for t, x in vector.items() if t not in held) < license.THRESHOLD**2
+
+
+def test_license_inheritance_goes_up_several_levels(spark):
+    found = license.op10_license(spark, "/root/testdata/sf0.01").where("inherited_from is not null").collect()
+    levels = Counter(r.path.count("/") - 1 - r.inherited_from.count("/") for r in found)
+    assert sum(n for up, n in levels.items() if up >= 2) > 10
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_against_duckdb(spark, sf_dir, name):
     import duckdb
