@@ -1,20 +1,24 @@
 """Operator 8: approximate nearest neighbours by balanced posting lists.
 
-Centroids are found by size-balanced spherical k-means on at most ``SAMPLE`` distinct vectors, the first by a hash
-(a documented bound: it bounds what the driver and the broadcast hold). Every vector is indexed: it goes to the list of
-its nearest centroid and, if it lies at a boundary, to those of up to ``REPLICAS`` centroids that aren't farther than
-``SPREAD`` times the least distance. Lists longer than ``LIST_ROWS`` are cut into pieces by a hash, so none is long.
-Nearest centroids are found by a best-first search on a graph of the centroids held in memory, for many points at
-once. A query reads the lists of all centroids that aren't farther than ``RATIO`` times its nearest one. Candidates are
-scored by the exact cosine of the original vectors in double precision.
+There are ``LISTS`` times the square root of the number of distinct vectors lists, so the centroids, which the driver and
+every task hold, and the length of a list both grow with the square root of the table. Centroids are found by
+size-balanced spherical k-means in two levels on ``SAMPLE`` vectors a centroid, drawn by a hash (a documented sample;
+every vector is indexed). A vector goes to the list of its nearest centroid and, if it lies at a boundary, to those of
+up to ``REPLICAS`` centroids that aren't farther than ``SPREAD`` times the least distance. Nearest centroids are found by
+a best-first search on a graph of the centroids in memory, for many points at once. A query reads the lists of the
+centroids found that aren't farther than ``RATIO`` times its nearest one: few where vectors form clusters, very many
+where they are isotropic; and more lists if these might hold fewer than ``k`` others. Lists are cut into pieces by a hash, so none is long. Candidates are scored by the exact cosine
+of the original vectors in double precision, and a task returns at most ``k`` of a piece for each query.
 
 Equal vectors are one entry with their ``k + 1`` least ids, which is exact, since of equal scores the smaller ids win:
-a vector that a third of all rows share is one entry.
+a vector that a third of all rows share is one entry. The cosine of vectors of different lengths isn't defined. The
+index holds those of the most common length; those of each other length make one list, which all queries of that length
+read.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components take no part, neither as
-candidates nor as queries; nor do vectors whose length isn't the most common one; ties go to the smaller id; a query's
-own id is never among its neighbours; rows that repeat an id and a vector count once; with fewer than k candidates all
-are returned; an empty table gives an empty table; other columns are ignored.
+candidates nor as queries; ties go to the smaller id; a query's own id is never among its neighbours; rows that repeat
+an id and a vector count once; with fewer than k candidates all are returned; an empty table gives
+an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,13 +29,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from simstrata.llm.common import written
 
-SAMPLE, LIST_ROWS, CENTROID_ROWS, MAX_CENTROIDS = 8192, 1024, 256, 1024
-REPLICAS, SPREAD, RATIO, DEGREE, QUERY_ROWS = 4, 1.15, 1.3, 16, 1024
+LISTS, SAMPLE, LIST_ROWS, QUERY_ROWS = 2.0, 16, 1024, 1024
+REPLICAS, SPREAD, RATIO, DEGREE, BEAM = 4, 1.1, 1.3, 16, 8
 
 
 def usable(vector: str | Column) -> Column:
@@ -46,8 +50,8 @@ def distinct_vectors(rows: DataFrame, k: int) -> DataFrame:
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: dict[bytes, list[int]] = {}
-            for i, v in zip(batch.column(0).to_pylist(), _vectors(batch.column(1)), strict=True):
-                found.setdefault(v.tobytes(), []).append(i)
+            for i, v in zip(batch.column(0).to_pylist(), _bytes_of(batch.column(1)), strict=True):
+                found.setdefault(v, []).append(i)
             ids = [sorted(set(x))[: k + 1] for x in found.values()]
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(ids, pa.list_(pa.int64()))], ["v", "ids"])
 
@@ -56,10 +60,14 @@ def distinct_vectors(rows: DataFrame, k: int) -> DataFrame:
     return each.groupBy("v").agg(merged.alias("ids"))
 
 
-def _vectors(column) -> np.ndarray:
-    n = len(column)
+def _bytes_of(column) -> list[bytes]:
     flat = np.asarray(column.flatten().to_numpy(zero_copy_only=False), dtype="<f8") + 0.0  # no negative zero
-    return flat.reshape(n, -1) if n else flat.reshape(0, 0)
+    ends = np.cumsum([len(x) for x in column])
+    return [x.tobytes() for x in np.split(flat, ends[:-1])] if len(ends) else []
+
+
+def _matrix(cells) -> np.ndarray:
+    return np.frombuffer(b"".join(cells), "<f8").reshape(len(cells), -1)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -68,12 +76,10 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def centroids_of(sample: np.ndarray, n: int, rounds: int = 8, seed: int = 3) -> np.ndarray:
-    """``n`` unit centroids; clusters over their share of rows are made to look farther."""
-    x = _unit(sample)
-    rng = np.random.default_rng(seed)
+def balanced_means(x: np.ndarray, n: int, rng: np.random.Generator, rounds: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """(``n`` unit centroids at most, the one of each unit row); clusters over their share of rows are made to look farther."""
     c = x[rng.choice(len(x), min(n, len(x)), replace=False)].copy()
-    penalty = np.zeros(len(c))
+    penalty, at = np.zeros(len(c)), np.zeros(len(x), np.int64)
     for _ in range(rounds):
         at = np.concatenate([(x[lo : lo + 2048] @ c.T - penalty).argmax(axis=1) for lo in range(0, len(x), 2048)])
         sums = np.zeros_like(c)
@@ -83,7 +89,15 @@ def centroids_of(sample: np.ndarray, n: int, rounds: int = 8, seed: int = 3) ->
         sums[empty] = x[rng.integers(0, len(x), int(empty.sum()))]
         c = sums / np.linalg.norm(sums, axis=1, keepdims=True)
         penalty = 0.05 * np.clip(size / max(1e-9, len(x) / len(c)) - 1, -1, 2)
-    return c
+    return c, at
+
+
+def centroids_of(sample: np.ndarray, n: int, seed: int = 3) -> np.ndarray:
+    """``n`` unit centroids at most: those of the square root of n clusters, each cut in proportion to its rows."""
+    x, rng = _unit(sample), np.random.default_rng(seed)
+    coarse, at = balanced_means(x, math.ceil(math.sqrt(n)), rng)
+    parts = [x[at == k] for k in range(len(coarse))]
+    return np.concatenate([balanced_means(p, max(1, round(n * len(p) / len(x))), rng)[0] for p in parts if len(p)])
 
 
 class Graph:
@@ -92,125 +106,146 @@ class Graph:
     def __init__(self, c: np.ndarray, degree: int = DEGREE) -> None:
         n = len(c)
         self.c = c
-        s = c @ c.T
-        np.fill_diagonal(s, -np.inf)
-        near = np.argsort(-s, axis=1, kind="stable")[:, : min(degree, max(1, n - 1))]
+        near, degree = [], min(degree, max(1, n - 1))
+        for lo in range(0, n, block := max(1, (1 << 22) // n)):
+            s = c[lo : lo + block] @ c.T
+            s[np.arange(len(s)), np.arange(lo, lo + len(s))] = -np.inf
+            near.append(np.argpartition(-s, degree - 1, axis=1)[:, :degree])
         ring = ((np.arange(n)[:, None] + np.array([1, -1, n // 2, n // 3])) % n).astype(np.int64)
-        self.near = np.concatenate([near, ring], axis=1)
+        self.near = np.concatenate([np.concatenate(near), ring], axis=1)
         self.entry = np.unique(np.linspace(0, n - 1, min(n, 8)).astype(np.int64))
 
-    def search(self, x: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
-        """(centroid numbers, squared distances) of the best ``beam`` found for each row, nearest first; padded with -1."""
+    def search(self, x: np.ndarray, ratio: float, beam: int = BEAM) -> np.ndarray:
+        """Squared distances of unit rows to the visited centroids, infinite for the others.
+
+        The nearest centroid that isn't expanded yet is expanded as long as it is one of the ``beam`` nearest found or
+        within ``ratio`` of the nearest found.
+        """
         n, m = len(self.c), len(x)
         beam = min(beam, n)
-        d2 = np.full((m, n), np.inf)  # of visited centroids; the number of centroids is bounded
-        done = np.zeros((m, n), bool)
-        rows = np.arange(m)[:, None]
+        d2, done, rows = np.full((m, n), np.inf), np.zeros((m, n), bool), np.arange(m)
         d2[:, self.entry] = 2 - 2 * x @ self.c[self.entry].T
         while True:
-            best = np.argpartition(d2, beam - 1, axis=1)[:, :beam] if beam < n else np.broadcast_to(np.arange(n), (m, n)).copy()
-            todo = np.isfinite(d2[rows, best]) & ~done[rows, best]
-            active = np.flatnonzero(todo.any(axis=1))
-            if not len(active):
+            own = d2[rows]
+            bound = np.maximum(np.partition(own, beam - 1, axis=1)[:, beam - 1], ratio * ratio * np.maximum(own.min(axis=1), 1e-12))
+            own[done[rows] | (own > bound[:, None])] = np.inf
+            width = min(4, n)
+            pick = np.argpartition(own, width - 1, axis=1)[:, :width]
+            real = np.isfinite(np.take_along_axis(own, pick, axis=1))
+            live = real.any(axis=1)
+            if not live.any():
                 break
-            score = np.where(todo[active], d2[active[:, None], best[active]], np.inf)
-            width = min(4, beam)
-            pick = np.argpartition(score, width - 1, axis=1)[:, :width]
-            chosen = best[active[:, None], pick]
-            real = np.isfinite(np.take_along_axis(score, pick, axis=1))
-            chosen = np.where(real, chosen, chosen[:, :1])
-            done[active[:, None], chosen] = True
-            nearby = self.near[chosen].reshape(len(active), -1)
-            d2[active[:, None], nearby] = 2 - 2 * np.einsum("ijk,ik->ij", self.c[nearby], x[active])
-        order = np.take_along_axis(best, np.argsort(d2[rows, best], axis=1, kind="stable"), axis=1)
-        found = np.maximum(d2[rows, order], 0)
-        return np.where(np.isfinite(found), order, -1), found
-
-
-def _within(d2: np.ndarray, ratio: float) -> np.ndarray:
-    return np.isfinite(d2) & (d2 <= ratio * ratio * np.maximum(d2[:, :1], 1e-12))
-
-
-def lists_for(vectors: np.ndarray, graph: Graph, ratio: float, most: int | None) -> list[list[int]]:
-    """The lists of each vector by the distance ratio, ``most`` at most (None: all)."""
-    out: list[list[int]] = []
-    for lo in range(0, len(vectors), 512):
-        order, d2 = graph.search(_unit(vectors[lo : lo + 512]), 4 * most if most else len(graph.c))
-        good = _within(d2, ratio) & (order >= 0)
-        out += [o[g].tolist()[:most] for o, g in zip(order, good, strict=True)]
-    return out
+            rows, pick, real, own = rows[live], pick[live], real[live], own[live]
+            pick = np.where(real, pick, own.argmin(axis=1)[:, None])
+            done[rows[:, None], pick] = True
+            nearby = self.near[pick].reshape(len(rows), -1)
+            d2[rows[:, None], nearby] = 2 - 2 * np.einsum("ijk,ik->ij", self.c[nearby], x[rows])
+        return np.maximum(d2, 0)
+
+    def lists(self, vectors: np.ndarray, ratio: float, most: int | None = None, sizes: np.ndarray | None = None, least: int = 0) -> list[list[int]]:
+        """The lists of each vector by the distance ratio, nearest first, ``most`` at most (None: all); more of them
+        where these hold under ``least`` entries by ``sizes``."""
+        out: list[list[int]] = []
+        for lo in range(0, len(vectors), block := max(1, min(512, (1 << 22) // len(self.c)))):
+            x = _unit(vectors[lo : lo + block])
+            for own, d2 in zip(x, self.search(x, ratio), strict=True):
+                at = np.flatnonzero(d2 <= ratio * ratio * max(d2.min(), 1e-12))
+                found = at[np.argsort(d2[at], kind="stable")][:most]
+                if sizes is not None and sizes[found].sum() < least:
+                    order = np.argsort(2 - 2 * self.c @ own, kind="stable")
+                    found = order[: np.searchsorted(np.cumsum(sizes[order]), least) + 1]
+                out.append(found.tolist())
+        return out
 
 
 def nearest(df: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id", vector: str = "embedding", ratio: float = RATIO, replicas: int = REPLICAS, spread: float = SPREAD) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest rows found for each row for which ``queries`` holds."""
+    hits = _hits(df, queries, k, id_col, vector, ratio, replicas, spread)
+    best = hits.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
+    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def indexed(df: DataFrame, queries: Column, k: int, id_col: str, vector: str, ratio: float, replicas: int, spread: float) -> tuple[DataFrame, DataFrame]:
+    """((v, ids, list) of all vectors, (v, id, list) of the queries)."""
     spark = df.sparkSession
     rows = df.where(usable(vector)).select(F.col(id_col).cast("long").alias("id"), F.col(vector).alias("vector"), queries.alias("asks")).where("id is not null")
-    sizes = rows.groupBy(F.size("vector").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
-    out_schema = "query_id long, rank int, vec_id long, score double"
-    if not sizes:
-        return spark.createDataFrame([], out_schema)
-    rows = rows.where(F.size("vector") == sizes[0].d)
     entries = written(distinct_vectors(rows, k), "ann-entries")
-    n = entries.count()
-    sample = np.stack([np.frombuffer(r.v, "<f8") for r in entries.select("v").withColumn("h", F.xxhash64("v")).orderBy("h", "v").limit(SAMPLE).collect()])
-    graph = Graph(centroids_of(sample, int(min(MAX_CENTROIDS, max(1, len(sample) // 8), math.ceil(n / CENTROID_ROWS)))))
-    shared = spark.sparkContext.broadcast(graph)
-
-    def assign(batches: Iterator[pa.RecordBatch], ratio: float, most: int | None) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            v = np.stack([np.frombuffer(x.as_buffer(), "<f8") for x in batch.column(0)]) if batch.num_rows else np.zeros((0, 1))
-            lists = lists_for(v, shared.value, ratio, most)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lists, pa.list_(pa.int32()))], [*batch.schema.names, "lists"])
-
-    posted = entries.mapInArrow(lambda b: assign(b, spread, replicas), "v binary, ids array<long>, lists array<int>")
-    posted = written(posted.select("v", "ids", F.explode("lists").alias("list")), "ann-lists")
     asked = rows.where("asks").select("id", "vector").dropDuplicates()
 
     def binary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            v = [x.tobytes() for x in _vectors(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([pa.array(v, pa.binary()), batch.column(0)], ["v", "id"])
-
-    asked = asked.mapInArrow(binary, "v binary, id long").mapInArrow(lambda b: assign(b, ratio, None), "v binary, id long, lists array<int>")
-    asked = written(asked.select("id", "v", F.explode("lists").alias("list")), "ann-asked")
+            yield pa.RecordBatch.from_arrays([pa.array(_bytes_of(batch.column(1)), pa.binary()), batch.column(0)], ["v", "id"])
+
+    asked = asked.mapInArrow(binary, "v binary, id long")
+    size = entries.groupBy(F.length("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
+    if size is None:
+        none = F.array(F.lit(0))
+        return entries.select("v", "ids", F.explode(none).alias("list")), asked.select("v", "id", F.explode(none).alias("list"))
+    n_lists = math.ceil(LISTS * math.sqrt(size.n))
+    share = min(1.0, SAMPLE * n_lists / size.n)
+    drawn = entries.where((F.length("v") == size.d) & (F.pmod(F.xxhash64("v"), F.lit(1 << 30)) <= int(share * (1 << 30)))).select("v").collect()
+    sample = sorted(bytes(r.v) for r in drawn) or [bytes(entries.where(F.length("v") == size.d).agg(F.min("v")).first()[0])]
+    graph = Graph(centroids_of(_matrix(sample), n_lists))
+    shared = spark.sparkContext.broadcast(graph)
 
-    # A row per list: bounded by the number of centroids.
-    count = lambda t: {r["list"]: r["n"] for r in t.groupBy("list").agg(F.count("*").alias("n")).collect()}
-    n_posted, n_asked = count(posted), count(asked)
-    cuts = spark.createDataFrame([(i, -(-m // LIST_ROWS), -(-n_asked.get(i, 1) // QUERY_ROWS)) for i, m in n_posted.items()], "list int, pieces int, lots int")
-    cuts = F.broadcast(cuts)
-    left = posted.join(cuts, "list").withColumn("piece", F.pmod(F.xxhash64("v"), F.col("pieces")).cast("int")).withColumn("lot", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)))
-    right = asked.join(cuts, "list").withColumn("lot", F.pmod(F.xxhash64("id"), F.col("lots")).cast("int")).withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    def assign(batches: Iterator[pa.RecordBatch], **how) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v = batch.column(0).to_pylist()
+            usual = [i for i, x in enumerate(v) if len(x) == size.d]
+            lists = [[-len(x)] for x in v]  # those of other lengths
+            for i, found in zip(usual, shared.value.lists(_matrix([v[i] for i in usual]), **how) if usual else [], strict=True):
+                lists[i] = found
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lists, pa.list_(pa.int32()))], [*batch.schema.names, "lists"])
 
-    def compare(postings: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
+    posted = entries.mapInArrow(lambda b: assign(b, ratio=spread, most=replicas), "v binary, ids array<long>, lists array<int>")
+    posted = written(posted.select("v", "ids", F.explode("lists").alias("list")), "ann-lists")
+    sizes = np.zeros(len(graph.c), np.int64)  # a row for each list
+    for r in posted.where("list >= 0").groupBy("list").agg(F.count("*").alias("n")).collect():
+        sizes[r["list"]] = r.n
+    # So many entries, each in up to ``replicas`` lists, hold k others for every query.
+    asked = asked.mapInArrow(lambda b: assign(b, ratio=ratio, sizes=sizes, least=replicas * (k + 1)), "v binary, id long, lists array<int>")
+    return posted, written(asked.select("v", "id", F.explode("lists").alias("list")), "ann-asked")
+
+
+def _hits(df: DataFrame, queries: Column, k: int, id_col: str, vector: str, ratio: float, replicas: int, spread: float) -> DataFrame:
+    posted, asked = indexed(df, queries, k, id_col, vector, ratio, replicas, spread)
+    # A row per list: with the square root of the number of rows.
+    size = lambda t, name, most: t.groupBy("list").agg(F.ceil(F.count("*") / most).cast("int").alias(name))
+    cuts = F.broadcast(written(size(posted, "pieces", LIST_ROWS).join(size(asked, "lots", QUERY_ROWS), "list"), "ann-cuts"))
+    copies = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = posted.join(cuts, "list").withColumn("piece", F.pmod(F.xxhash64("v"), F.col("pieces")).cast("int")).withColumn("lot", copies("lots"))
+    right = asked.join(cuts, "list").withColumn("lot", F.pmod(F.xxhash64("id"), F.col("lots")).cast("int")).withColumn("piece", copies("pieces"))
+
+    def compare(asking: pd.DataFrame, postings: pd.DataFrame) -> pd.DataFrame:
         found: list[tuple] = []
         if len(postings) and len(asking):
-            p = np.stack([np.frombuffer(x, "<f8") for x in postings["v"]])
+            p, ids = _matrix(postings["v"].tolist()), [np.asarray(x) for x in postings["ids"]]
             unit = _unit(p)
-            ids = [list(x) for x in postings["ids"]]
             for lo in range(0, len(asking), 256):
                 some = asking.iloc[lo : lo + 256]
-                q = np.stack([np.frombuffer(x, "<f8") for x in some["v"]])
+                q = _matrix(some["v"].tolist())
                 s = _unit(q) @ unit.T
+                # An entry may hold the query itself, so one more than k; what ties with these stays for the exact scores.
                 least = np.partition(s, -(k + 1), axis=1)[:, -(k + 1)] if s.shape[1] > k + 1 else np.full(len(s), -np.inf)
-                for i, j in zip(*np.nonzero(s >= least[:, None] - 1e-9), strict=True):
-                    own = int(some["id"].iloc[i])
-                    x = cosine(q[i], p[j])
-                    found += [(own, y, x) for y in ids[j] if y != own]
+                for i, own in enumerate(some["id"].tolist()):
+                    at = np.flatnonzero(s[i] >= least[i] - 1e-9)
+                    exact = cosines(q[i], p[at])
+                    mine = np.concatenate([ids[j] for j in at])
+                    scores = np.repeat(exact, [len(ids[j]) for j in at])[mine != own]
+                    mine = mine[mine != own]
+                    top = np.lexsort((mine, -scores))[:k]
+                    found += [(own, y, x) for y, x in zip(mine[top].tolist(), scores[top].tolist(), strict=True)]
         return pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
 
     keys = ["list", "piece", "lot"]
-    hits = right.select("id", "v", *keys).groupBy(*keys).cogroup(left.select("v", "ids", *keys).groupBy(*keys)).applyInPandas(
-        lambda a, b: compare(b, a), "query_id long, vec_id long, score double")
-    best = hits.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    from pyspark.sql import Window
-
-    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
-    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    pairs = right.select("id", "v", *keys).groupBy(*keys).cogroup(left.select("v", "ids", *keys).groupBy(*keys))
+    return pairs.applyInPandas(compare, "query_id long, vec_id long, score double")
 
 
-def cosine(a: np.ndarray, b: np.ndarray) -> float:
-    return float(np.dot(a, b) / (math.sqrt(np.dot(a, a)) * math.sqrt(np.dot(b, b))))
+def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of one vector with many; a pair's value doesn't depend on the others."""
+    return (b * a).sum(axis=1) / (math.sqrt((a * a).sum()) * np.sqrt((b * b).sum(axis=1)))
 
 
 def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
