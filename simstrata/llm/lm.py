@@ -2,16 +2,19 @@
 
 Tokens are the words ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased, and one end per text. All training tokens are counted.
 
-The model's vocabulary is every counted word, the end, and one class for words that were never counted. The two tokens
-before a token predict it by way of groups of words: p(w | u, v) = p(group | q) p(w | group, q) with q = C1 r_u + C2 r_v,
-both factors being log-bilinear. Groups are runs of words in order of frequency, of about p(w) ** -0.5 words each, which
-makes the expected cost of the two normalisers least. Every task trains on all training tokens of its partition, starting
-from the same parameters, with noise drawn from the groups' frequencies and from within the word's own group; the tasks'
-rows of parameters are averaged by how often their words occurred there (a task's rows that were noise only aren't sent). So nothing of the corpus is left out, and what is learned
-grows with the words of the corpus. Normalisers are batched matrix products, so probabilities of tokens sum to one.
-
-Words are known by their 64-bit hashes (two of 10 million words collide with a probability of 3 in a million). The model
-takes some 120 bytes a word in the driver and in each task, and is broadcast in half precision; nothing is shuffled for scoring.
+The ``HEAD`` times square root of N most frequent words (N: the training tokens), the end, and ``TAILS`` classes of all
+other words by their last three bytes are the *ids*; so what the driver and the tasks hold grows with the square root of
+the corpus. Every word has a probability: p(w | u, v) = p(id | q) p(w | id), where the two ids before give
+q = c1 r_u + c2 r_v, and p(w | id) is 1 for an id of its own, else the word's share of its class, in which one more
+count stands for all words that were never counted. p(id | q) = p(group | q) p(id | group, q), both factors being
+log-bilinear. Groups are runs of ids in order of frequency, of about p ** -0.5 ids each, which makes the expected cost of
+the two normalisers least. Normalisers are batched matrix products, so probabilities of tokens sum to one.
+
+Training texts are dealt by a hash to shards of about ``SHARD_TOKENS`` tokens and sorted by that hash, so neither the
+order nor the partitions of the table change the model. Each shard is one pass of training over all its tokens from the
+same start, the unigram model, with noise drawn from the groups' frequencies and from within the id's own group; rows of
+parameters are averaged by how often their ids occurred in a shard. The counts of class words are joined to the distinct
+class words of each text by their 64-bit hashes (two of 10 million words collide with a probability of 3 in a million).
 
 Defined cases: a null text counts as empty: its only token is the end; a text without words likewise; with no training
 rows at all counts are 0 and the model is uniform; rows that repeat id and text are scored alike, one row each; an
@@ -27,12 +30,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from simstrata.llm.common import remainder, written
 
-DIM, NOISE, PAIRED, BATCH, RATE, FLUSH, BLOCK = 24, 32, 1, 1024, 0.1, 200_000, 4096
+DIM, NOISE, BATCH, RATE, FLUSH, BLOCK = 16, 32, 4096, 0.1, 200_000, 4096
+HEAD, TAILS, SHARD_TOKENS, LESSON = 8.0, 256, 4_000_000, 500_000
 END = b" "  # can't be a word
 LN10 = math.log(10)
 
@@ -66,8 +71,8 @@ def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def layout(p: np.ndarray) -> np.ndarray:
-    """First ids of the groups: the two special classes, then runs of words."""
-    starts, i = [0], 2
+    """First ids of the groups: runs of about p ** -0.5 ids."""
+    starts, i = [], 0
     while i < len(p):
         starts.append(i)
         i += math.ceil(p[i] ** -0.5)
@@ -75,234 +80,288 @@ def layout(p: np.ndarray) -> np.ndarray:
 
 
 class Params:
-    """One matrix of dim + 1 columns, the last being biases: a row for each word, one for each group, and two whose other
+    """One matrix of dim + 1 columns, the last being biases: a row for each id, one for each group, and two whose other
     columns weigh the two places before."""
 
-    def __init__(self, vocab: int, dim: int = DIM, seed: int = 1, p: np.ndarray | None = None) -> None:
-        p = np.full(vocab, 1 / vocab) if p is None else p
+    def __init__(self, p: np.ndarray, dim: int = DIM, seed: int = 1) -> None:
         self.starts = layout(p)
-        self.sizes = np.diff(np.r_[self.starts, vocab])
-        self.of = np.repeat(np.arange(len(self.starts), dtype=np.int32), self.sizes)
-        self.mass = np.add.reduceat(p, self.starts)
-        self.vocab, n = vocab, len(self.starts)
-        self.m = np.random.default_rng(seed).standard_normal((vocab + n + 2, dim + 1), np.float32)
-        self.m *= np.float32(0.1)
-        self.m[0] = 0  # never seen as context in training
-        self.r, self.b = self.m[:vocab, :dim], self.m[:vocab, dim]
-        self.g, self.gb = self.m[vocab : vocab + n, :dim], self.m[vocab : vocab + n, dim]
-        self.c = self.m[vocab + n :, :dim]
-        self.b[:] = np.log(p / self.mass[self.of])
-        self.gb[:] = np.log(self.mass)
+        n, vocab = len(self.starts), len(p)
+        self.set(np.random.default_rng(seed).standard_normal((vocab + n + 2, dim + 1), np.float32) * np.float32(0.1))
+        mass = np.add.reduceat(p, self.starts)
+        self.mass = mass
+        self.b[:], self.gb[:] = np.log(p / mass[self.of]), np.log(mass)
         self.c[0], self.c[1] = 1.0, 0.5
 
+    def set(self, m: np.ndarray) -> None:
+        n, dim = len(self.starts), m.shape[1] - 1
+        self.m, self.vocab = m, len(m) - n - 2
+        self.sizes = np.diff(np.r_[self.starts, self.vocab])
+        self.of = np.repeat(np.arange(n, dtype=np.int32), self.sizes)
+        self.r, self.b = m[: self.vocab, :dim], m[: self.vocab, dim]
+        self.g, self.gb = m[self.vocab : self.vocab + n, :dim], m[self.vocab : self.vocab + n, dim]
+        self.c = m[self.vocab + n :, :dim]
+
+
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return 1 / (1 + np.exp(-x))
 
-def train(params: Params, ids: np.ndarray, used: np.ndarray, seed: int, rate: float = RATE, batch: int = BATCH, k: int = NOISE, paired: int = PAIRED) -> None:
-    """One pass of noise-contrastive estimation over (u, v, w) rows: for groups with one lot of noise shared by each batch,
-    for words with ``paired`` noise words of each word's group. ``used`` counts each word's uses, but for those as noise."""
-    rng = np.random.default_rng(seed)
-    p, cdf = params, np.cumsum(params.mass)
+
+def train(params: Params, ids: np.ndarray, target: np.ndarray, squares: np.ndarray, seed: int, rate: float = RATE, batch: int = BATCH, k: int = NOISE) -> None:
+    """One pass of noise-contrastive estimation over a run of ids, of which those marked ``target`` are predicted: for
+    groups with one lot of noise shared by each batch, for ids with one noise id of the same group. ``squares`` holds
+    the sums of squared gradients of each row of parameters, which set its rate."""
+    rng, p = np.random.default_rng(seed), params
+    cdf, dim, n_groups = np.cumsum(p.mass), p.r.shape[1], len(p.starts)
     log_kg = np.log(k * p.mass).astype(np.float32)
-    log_kw = np.log(paired / p.sizes).astype(np.float32)  # noise words are equally likely within a group
-    step = rate / math.sqrt(batch)
-    for lo in range(0, len(ids), batch):
-        u, v, w = ids[lo : lo + batch].T
+    log_kw = -np.log(p.sizes).astype(np.float32)  # a noise id is as likely as any other of its group
+    for lo in range(0, len(ids) - 2, batch):
+        a = ids[lo : lo + batch + 2]
+        w, on = a[2:], target[lo + 2 : lo + batch + 2].astype(np.float32)
         at = p.of[w]
-        noise = np.minimum(np.searchsorted(cdf, rng.random(k)), len(cdf) - 1)
-        others = p.starts[at, None] + (rng.random((len(w), paired)) * p.sizes[at, None]).astype(np.int64)
-        ru, rv, rw, ro, rg, rn = p.r[u], p.r[v], p.r[w], p.r[others], p.g[at], p.g[noise]
-        q = ru * p.c[0] + rv * p.c[1]
-        with np.errstate(over="ignore"):
-            dg = -1 / (1 + np.exp(np.einsum("ij,ij->i", q, rg) + p.gb[at] - log_kg[at]))  # d loss / d s of the groups
-            dn = 1 / (1 + np.exp(-(q @ rn.T + p.gb[noise] - log_kg[noise])))  # and of their noise
-            dw = -1 / (1 + np.exp(np.einsum("ij,ij->i", q, rw) + p.b[w] - log_kw[at]))  # of the words
-            do = 1 / (1 + np.exp(-((ro @ q[:, :, None])[:, :, 0] + p.b[others] - log_kw[at, None])))  # and of theirs
-        gq = dg[:, None] * rg + dn @ rn + dw[:, None] * rw + (do[:, None, :] @ ro)[:, 0]
-        grad_g = np.zeros_like(p.m[p.vocab : p.vocab + len(cdf)])
-        np.add.at(grad_g, noise, np.c_[dn.T @ q, dn.sum(0)])
-        found, sums, _ = _sum_rows(at, np.c_[dg[:, None] * q, dg])
-        grad_g[found] += sums
-        zero = np.zeros((len(u), 1), np.float32)
-        parts = [np.c_[gq * p.c[0], zero], np.c_[gq * p.c[1], zero], np.c_[dw[:, None] * q, dw]]
-        noisy = np.concatenate([do[:, :, None] * q[:, None, :], do[:, :, None]], axis=2).reshape(-1, q.shape[1] + 1)
-        found, sums, _ = _sum_rows(np.concatenate([u, v, w, others.ravel()]), np.concatenate([*parts, noisy]))
-        grad_c = np.stack([(gq * ru).sum(0), (gq * rv).sum(0)])
-        p.m[found] -= np.clip(step * sums, -0.5, 0.5)
-        for x in (u, v, w):
-            np.add.at(used, x, 1)
-        p.m[p.vocab : p.vocab + len(cdf)] -= np.clip(step * grad_g, -0.5, 0.5)
-        p.c -= np.clip(step / math.sqrt(batch) * grad_c, -0.1, 0.1)
-
-
-def _sum_rows(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct values of ``at``, the sums of their ``rows``, their numbers)."""
+        noise = np.minimum(np.searchsorted(cdf, rng.random(k)), n_groups - 1)
+        other = p.starts[at] + (rng.random(len(w)) * p.sizes[at]).astype(np.int64)
+        ra, ro, rg, rn = p.r[a], p.r[other], p.g[at], p.g[noise]
+        rw, q = ra[2:], ra[1:-1] * p.c[0] + ra[:-2] * p.c[1]
+        dg = (_sigmoid((q * rg).sum(1) + p.gb[at] - log_kg[at]) - 1) * on  # d loss / d score of the groups
+        dn = _sigmoid(q @ rn.T + (p.gb[noise] - log_kg[noise])) * on[:, None]  # and of their noise
+        dw = (_sigmoid((q * rw).sum(1) + p.b[w] - log_kw[at]) - 1) * on  # of the ids
+        do = _sigmoid((q * ro).sum(1) + p.b[other] - log_kw[at]) * on  # and of theirs
+        gq = dg[:, None] * rg + dn @ rn + dw[:, None] * rw + do[:, None] * ro
+        # An id's row is at work as the target, as the id before, and as the one before that.
+        rows = np.zeros((len(a) + len(w), dim + 1), np.float32)
+        rows[2 : len(a), :dim], rows[2 : len(a), dim] = dw[:, None] * q, dw
+        rows[1 : len(a) - 1, :dim] += gq * p.c[0]
+        rows[: len(a) - 2, :dim] += gq * p.c[1]
+        rows[len(a) :, :dim], rows[len(a) :, dim] = do[:, None] * q, do
+        grad_c = np.stack([(gq * ra[1:-1]).sum(0), (gq * ra[:-2]).sum(0)])
+        found, sums = _sum_rows(np.concatenate([a, other]), rows)
+        _step(p.m, squares, found, sums, rate)
+        groups, sums = _sum_rows(np.concatenate([at, noise]).astype(np.int16 if n_groups < 1 << 15 else np.int64), np.concatenate([np.c_[dg[:, None] * q, dg], np.c_[dn.T @ q, dn.sum(0)]]))
+        _step(p.m, squares, groups.astype(np.int64) + p.vocab, sums, rate)
+        p.c -= np.clip(rate / len(w) * grad_c, -0.01, 0.01)
+
+
+def _step(m: np.ndarray, squares: np.ndarray, at: np.ndarray, grad: np.ndarray, rate: float) -> None:
+    squares[at] += (grad * grad).mean(1)
+    m[at] -= grad * (rate / np.sqrt(1 + squares[at]))[:, None]
+
+
+def _sum_rows(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct values of ``at``, the sums of their ``rows``)."""
     order = np.argsort(at, kind="stable")
     at = at[order]
     starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-    return at[starts], np.add.reduceat(rows[order].astype(np.float32), starts, axis=0), np.diff(np.r_[starts, len(at)])
-
-
-def hash_of(word: bytes) -> int:
-    """Spark's xxhash64, without its sign."""
-    return xxhash.xxh64_intdigest(word, 42)
-
-
-class Ids:
-    """Ids of words by their hashes; 0 for words that aren't known, 1 for the end, which is no word."""
-
-    def __init__(self, hashes: np.ndarray) -> None:
-        self.order = np.argsort(hashes)
-        self.hashes, self.cache = hashes[self.order], {}
-
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        if len(self.cache) > FLUSH:
-            self.cache.clear()
-        new = list({w for w in words if w not in self.cache})
-        if new:
-            h = np.array(list(map(hash_of, new)), np.uint64)
-            at = np.minimum(np.searchsorted(self.hashes, h), max(0, len(self.hashes) - 1))
-            ids = np.where(self.hashes[at] == h, self.order[at] + 2, 0) if len(self.hashes) else np.zeros(len(h), np.int64)
-            self.cache.update(zip(new, ids.tolist(), strict=True))
-        return np.array(list(map(self.cache.__getitem__, words)), np.int64)
-
-
-def _log_sum(s: np.ndarray) -> np.ndarray:
-    top = s.max(axis=1)
-    return top + np.log(np.exp(s - top[:, None]).sum(axis=1))
+    return at[starts], np.add.reduceat(rows[order], starts, axis=0)
+
+
+def tail_of(word: bytes) -> int:
+    """A word's class, by its last three bytes."""
+    return xxhash.xxh64_intdigest(word[-3:], 42) % TAILS
+
+
+class Ids(dict):
+    """Ids of words; those of the head are given, others are found by their class."""
+
+    def __init__(self, head: dict[bytes, int], tails: np.ndarray) -> None:
+        super().__init__(head)
+        self.tails = tails.tolist()
+
+    def __missing__(self, word: bytes) -> int:
+        return self.tails[tail_of(word)]
+
+    def run(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, which of them are targets): two ends before each text's words, and its own end behind them."""
+        end, get = self[END], self.__getitem__
+        flat: list[int] = []
+        for words in texts:
+            flat += (end, end)
+            flat += map(get, words)
+            flat.append(end)
+        sizes = np.array([len(t) + 3 for t in texts])
+        first = np.cumsum(sizes) - sizes
+        target = np.ones(len(flat), bool)
+        target[first] = target[first + 1] = False
+        return np.array(flat, np.int64), target
+
+
+def _log_sums(q: np.ndarray, m: np.ndarray, cells: np.ndarray) -> np.ndarray:
+    """log(sum(exp(q @ row))) over the rows of ``m``, for each row of ``q``; ``cells`` is memory that is used again."""
+    out, some = np.empty(len(q), np.float32), max(1, len(cells) // len(m))
+    for lo in range(0, len(q), some):
+        part = q[lo : lo + some]
+        s = cells[: len(part) * len(m)].reshape(len(part), len(m)) if len(m) <= len(cells) else np.empty((len(part), len(m)), np.float32)
+        np.matmul(part, m.T, out=s)
+        with np.errstate(over="ignore", divide="ignore"):
+            found = np.log(np.exp(s, out=s).sum(axis=1))
+        if not np.isfinite(found).all():
+            s = part.astype(np.float64) @ m.T
+            top = s.max(axis=1, keepdims=True)
+            found = top[:, 0] + np.log(np.exp(s - top).sum(axis=1))
+        out[lo : lo + some] = found
+    return out
+
+
+def log_p(p: Params, ids: np.ndarray, block: int = 1 << 17) -> np.ndarray:
+    """Natural log-probabilities of all ids of a run but the first two."""
+    w, n, dim = ids[2:], len(ids) - 2, p.r.shape[1]
+    at = p.of[w]
+    order = np.argsort(at.astype(np.int16) if len(p.starts) < 1 << 15 else at, kind="stable")
+    w, at, groups, cells = w[order], at[order], p.m[p.vocab : p.vocab + len(p.starts)], np.empty(block, np.float32)
+    q = np.ones((n, dim + 1), np.float32)  # the last column meets the biases
+    q[:, :dim] = (p.r[ids[1:-1]] * p.c[0] + p.r[ids[:-2]] * p.c[1])[order]
+    own = np.einsum("ij,ij->i", q, groups[at] + p.m[w])
+    own -= _log_sums(q, groups, cells)
+    ends = np.searchsorted(at, np.arange(len(groups) + 1))
+    for k in np.flatnonzero(np.diff(ends)):
+        some = slice(ends[k], ends[k + 1])
+        own[some] -= _log_sums(q[some], p.m[p.starts[k] : p.starts[k] + p.sizes[k]], cells)
+    out = np.empty(n)
+    out[order] = own
+    return out
 
 
 class Model:
-    """Parameters, hashes of the words of ids 2 and up, and all ids' counts."""
-
-    def __init__(self, params: Params, words: list[bytes] | np.ndarray, counts: np.ndarray | None = None) -> None:
-        self.params, self.counts = params, counts
-        self.hashes = words if isinstance(words, np.ndarray) else np.array(list(map(hash_of, words)), np.uint64)
-
-    def logp(self, rows: np.ndarray) -> np.ndarray:
-        """Natural log-probabilities of rows (u, v, w)."""
-        p, out = self.params, np.empty(len(rows))
-        at = p.of[rows[:, 2]]
-        for lo in range(0, len(rows), 4096):
-            u, v, _ = rows[lo : lo + 4096].T
-            s = (p.r[u] * p.c[0] + p.r[v] * p.c[1]) @ p.g.T + p.gb
-            out[lo : lo + 4096] = s[np.arange(len(s)), at[lo : lo + 4096]] - _log_sum(s)
-        order = np.argsort(at, kind="stable")
-        for same in np.split(order, np.flatnonzero(np.diff(at[order])) + 1) if len(order) else []:
-            g = at[same[0]]
-            first, size = p.starts[g], p.sizes[g]
-            some = max(1, (1 << 21) // size)
-            for lo in range(0, len(same), some):
-                k = same[lo : lo + some]
-                u, v, w = rows[k].T
-                s = (p.r[u] * p.c[0] + p.r[v] * p.c[1]) @ p.r[first : first + size].T + p.b[first : first + size]
-                out[k] += s[np.arange(len(s)), w - first] - _log_sum(s)
-        return out
-
-
-def rows_of(ids: np.ndarray) -> np.ndarray:
-    """(token before the last, last token, token) rows; both places before a text hold ends."""
-    a = np.array([1, 1, *ids, 1])
-    return np.stack([a[1:-1], a[:-2], a[2:]], axis=1)  # u: the one right before, v: the one before that
-
-
-def fit(docs: DataFrame, counts: DataFrame, text: str = "text", dim: int = DIM) -> tuple[Model, int]:
-    """The model, and N; ``counts`` are those of ``docs``."""
-    sc = docs.sparkSession.sparkContext
-    found = counts.select((F.col("word") == F.lit(END)).alias("end"), F.xxhash64("word").alias("h"), "n").toArrow()
-    end, h, n = (found.column(k).to_numpy() for k in range(3))
-    n_end, h, n = int(n[end].sum()), h[~end].view(np.uint64), n[~end]
-    order = np.lexsort((h, -n))
-    hashes, n = h[order], np.r_[0, n_end, n[order]].astype(np.int64)
-    p = np.maximum(n, 1).astype(np.float64)
-    p /= p.sum()
-    shared = sc.broadcast((hashes, p))
+    """Parameters; the head's words with their ids and counts; ids and masses of the classes; N and V."""
+
+    def __init__(self, params: Params, head: dict[bytes, int], counts: np.ndarray, tails: np.ndarray, masses: np.ndarray, total: int, distinct: int) -> None:
+        self.params, self.head, self.counts, self.tails, self.masses, self.total, self.distinct = params, head, counts, tails, masses, total, distinct
+
+
+def start_of(counts: DataFrame, head: float = HEAD, dim: int = DIM) -> Model:
+    """The unigram model: ids by frequency."""
+    tail = F.pmod(F.xxhash64(F.substring("word", -3, 3)), F.lit(TAILS)).cast("int")
+    by_class = {r.tail: r for r in counts.where(F.col("word") != F.lit(END)).groupBy(tail.alias("tail")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}
+    n_end = sum(r.n for r in counts.where(F.col("word") == F.lit(END)).collect())
+    total = n_end + sum(r.n for r in by_class.values())
+    size = math.ceil(head * math.sqrt(total))
+    top = counts.where(F.col("word") != F.lit(END)).orderBy(F.desc("n"), "word").limit(size).collect() if size else []
+    masses = np.array([by_class[t].n if t in by_class else 0 for t in range(TAILS)], np.int64)
+    for r in top:
+        masses[tail_of(bytes(r.word))] -= r.n
+    # Classes count one more, for the words that were never counted; the end counts once at least.
+    n = np.array([max(1, n_end), *(r.n for r in top), *(masses + 1)], np.int64)
+    names = [END, *(bytes(r.word) for r in top)]
+    order = np.lexsort((np.arange(len(n)), -n))
+    ids = np.empty(len(n), np.int64)
+    ids[order] = np.arange(len(n))
+    seen = np.array([n_end, *(r.n for r in top), *([-1] * TAILS)], np.int64)[order]  # -1: known after the join
+    distinct = sum(r.v for r in by_class.values()) + (n_end > 0)
+    return Model(Params(n[order] / n.sum(), dim), dict(zip(names, ids.tolist(), strict=False)), seen, ids[len(names) :], masses, total, distinct)
+
+
+def fit(docs: DataFrame, counts: DataFrame, id_col: str = "doc_id", text: str = "text", head: float = HEAD, dim: int = DIM, shard_tokens: int = SHARD_TOKENS) -> Model:
+    """The model of ``docs``, whose counts are ``counts``."""
+    model = start_of(counts, head, dim)
+    if not model.total:
+        return model
+    shared, shards = docs.sparkSession.sparkContext.broadcast(model), -(-model.total // shard_tokens)
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, p = shared.value
-        params, ids, seen, held, size = Params(len(p), dim, p=p), Ids(hashes), 0, [], 0
-        used = np.zeros(len(params.m), np.int32)
+        model = shared.value
+        start, ids = model.params.m.copy(), Ids(model.head, model.tails)
+        shard, texts, size = None, [], 0
 
         def lesson() -> None:
-            nonlocal seen, size
-            rows = np.concatenate(held)
-            np.random.default_rng(len(rows)).shuffle(rows)
-            train(params, rows, used, seed=seen + len(rows))
-            seen, size = seen + len(rows), 0
-            held.clear()
-
-        for batch in batches:
-            for t in batch.column(0):
-                rows = rows_of(ids(words_of(t.as_py())))
-                held.append(rows)
-                size += len(rows)
-                if size > 500_000:
-                    lesson()
-        if size:
-            lesson()
-        if seen:
-            used[len(p) :] = seen
+            nonlocal used
+            run, target = ids.run(texts)
+            train(params, run, target, squares, seed=len(run))
+            used[: params.vocab] += np.bincount(run, minlength=params.vocab)
+            used[params.vocab :] += len(run)
+            texts.clear()
+
+        def results() -> Iterator[pa.RecordBatch]:
             for lo in range(0, len(used), BLOCK):
                 at = np.flatnonzero(used[lo : lo + BLOCK]).astype(np.int32)
                 if len(at):
-                    cells = [lo, at.tobytes(), used[lo + at].tobytes(), params.m[lo + at].astype(np.float16).tobytes()]
-                    yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(cells, (pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["block", "at", "n", "x"])
+                    cells = [shard, lo, at.tobytes(), used[lo + at].astype("<i8").tobytes(), params.m[lo + at].astype("<f2").tobytes()]
+                    yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(cells, (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["shard", "block", "at", "n", "x"])
+
+        for batch in batches:
+            for own, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if own != shard:
+                    if shard is not None:
+                        if texts:
+                            lesson()
+                        yield from results()
+                    shard, size, params = own, 0, model.params
+                    params.set(start.copy())
+                    used, squares = np.zeros(len(start), np.int64), np.zeros(len(start), np.float32)
+                texts.append(words_of(t.as_py()))
+                size += len(texts[-1]) + 1
+                if size > LESSON:
+                    lesson()
+                    size = 0
+        if shard is not None:
+            if texts:
+                lesson()
+            yield from results()
 
     def mean(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums, n = np.zeros((BLOCK, dim + 1)), np.zeros(BLOCK)
-        for batch in batches:
-            for r in batch.to_pylist():
-                at, m = np.frombuffer(r["at"], np.int32), np.frombuffer(r["n"], np.int32)
-                n[at] += m
-                sums[at] += np.frombuffer(r["x"], np.float16).astype(np.float32).reshape(len(at), -1) * m[:, None]
+        for r in sorted((r for batch in batches for r in batch.to_pylist()), key=lambda r: r["shard"]):
+            at, m = np.frombuffer(r["at"], np.int32), np.frombuffer(r["n"], "<i8")
+            n[at] += m
+            sums[at] += np.frombuffer(r["x"], "<f2").astype(np.float32).reshape(len(at), -1) * m[:, None]
         at = np.flatnonzero(n).astype(np.int32)
-        x = (sums[at] / n[at, None]).astype(np.float16)
+        x = (sums[at] / n[at, None]).astype("<f2")
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int64()), pa.array([at.tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary())], ["block", "at", "x"])
 
-    tasks = docs.select(text).mapInArrow(learn, "block long, at binary, n binary, x binary")
+    h = F.xxhash64(F.col(id_col).cast("string"), F.col(text))
+    dealt = docs.select(F.pmod(h, F.lit(shards)).alias("shard"), F.col(text).alias("text"), h.alias("h"), F.col(id_col).alias("id"))
+    dealt = dealt.repartition(shards, "shard").sortWithinPartitions("shard", "h", "id").select("shard", "text")
+    tasks = dealt.mapInArrow(learn, "shard long, block long, at binary, n binary, x binary")
     means = written(tasks.groupBy("block").applyInArrow(mean, "block long, at binary, x binary"), "lm-means")
-    params = Params(len(p), dim, p=p)
     for r in means.toLocalIterator():
         at = np.frombuffer(r.at, np.int32)
-        params.m[r.block + at] = np.frombuffer(r.x, np.float16).reshape(len(at), -1)
-    return Model(params, hashes, n), int(n.sum())
+        model.params.m[r.block + at] = np.frombuffer(r.x, "<f2").reshape(len(at), -1)
+    return model
 
 
-def score(docs: DataFrame, counts: DataFrame, model: Model, total: int, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def score(docs: DataFrame, counts: DataFrame, model: Model, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, n_tokens, n_known, train_tokens, base_score, score) for each row of ``docs``."""
-    v, = counts.agg(F.count("*")).first()
-    p = model.params
-    # Views would be sent as copies, so the matrix goes alone.
-    shared = docs.sparkSession.sparkContext.broadcast((p.m.astype(np.float16), p.starts, p.sizes, p.of, model.hashes, model.counts))
-    log_base = math.log10(total + v + 1)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, starts, sizes, of, hashes, counts = shared.value
-        m = m.astype(np.float32)
-        p = Params.__new__(Params)
-        p.m, p.starts, p.sizes, p.of, p.vocab = m, starts, sizes, of, len(of)
-        dim, g = m.shape[1] - 1, len(of) + len(starts)
-        p.r, p.b, p.g, p.gb, p.c = m[: p.vocab, :dim], m[: p.vocab, dim], m[p.vocab : g, :dim], m[p.vocab : g, dim], m[g:, :dim]
-        model, ids = Model(p, hashes, counts), Ids(hashes)
+        model, n = shared.value, TaskContext.get().partitionId() << 40
+        ids, p = Ids(model.head, model.tails), model.params
+        log_base, log_mass = math.log10(model.total + model.distinct + 1), np.zeros(p.vocab)
+        log_mass[model.tails] = np.log10(model.masses + 1)
+        known, log_count = model.counts > 0, np.log10(np.maximum(model.counts, 0) + 1.0)
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 some = batch.slice(lo, 256)
-                texts = [rows_of(ids(words_of(t.as_py()))) for t in some.column(1)]
-                lengths = np.array([len(t) for t in texts])
-                rows, firsts = np.concatenate(texts), np.r_[0, np.cumsum(lengths)[:-1]]
-                n = counts[rows[:, 2]]
-                known = np.add.reduceat((n > 0).astype(np.int64), firsts)
-                base = np.add.reduceat(np.log10(n + 1.0), firsts) - lengths * log_base
-                own = np.add.reduceat(model.logp(rows), firsts) / LN10
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(lengths, pa.int64()), pa.array(known), pa.array(base), pa.array(own)], ["id", "n_tokens", "n_known", "base_score", "score"])
+                texts = [words_of(t.as_py()) for t in some.column(1)]
+                run, target = ids.run(texts)
+                own, w = log_p(p, run) / LN10, run[2:]
+                own -= log_mass[w]
+                firsts, lengths = np.flatnonzero(~target)[::2], np.array([len(t) + 1 for t in texts])
+                sums = lambda x: np.add.reduceat(np.where(target[2:], x, 0), firsts)  # noqa: B023, E731
+                rare = [Counter(x for x in words if x not in ids) for words in texts]
+                cells = [
+                    some.column(0), pa.array(np.arange(n, n + len(texts))), pa.array(lengths, pa.int64()), pa.array(sums(known[w].astype(np.int64))),
+                    pa.array(sums(log_count[w]) - lengths * log_base), pa.array(sums(own)),
+                    pa.array([[xxhash.xxh64_intdigest(x, 42) - (1 << 63) for x in c] for c in rare], pa.list_(pa.int64())), pa.array([list(c.values()) for c in rare], pa.list_(pa.int32())),
+                ]
+                n += len(texts)
+                yield pa.RecordBatch.from_arrays(cells, ["id", "row", "n_tokens", "n_known", "base", "own", "h", "n"])
 
     keyed = docs.select(F.col(id_col).cast("long").alias("id"), text)
-    rows = keyed.mapInArrow(parts, "id long, n_tokens long, n_known long, base_score double, score double")
-    return rows.select(F.col("id").alias(id_col), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
+    rows = written(keyed.mapInArrow(parts, "id long, row long, n_tokens long, n_known long, base double, own double, h array<long>, n array<int>"), "lm-rows")
+    spots = rows.select("row", F.explode(F.arrays_zip("h", "n")).alias("s")).select("row", F.col("s.h").alias("h"), F.col("s.n").alias("n"))
+    # The unsigned hash less 2 ** 63, as above.
+    held = counts.where(F.col("word") != F.lit(END)).select(F.xxhash64("word").bitwiseXOR(F.lit(-(1 << 63))).alias("h"), F.col("n").alias("c"))
+    hits = spots.join(held, "h").groupBy("row").agg(F.sum("n").alias("k"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("b"), F.sum(F.col("n") * F.log10("c")).alias("s"))
+    whole, zero = rows.drop("h", "n").join(hits, "row", "left"), F.lit(0)
+    return whole.select(
+        F.col("id").alias(id_col), "n_tokens", (F.col("n_known") + F.coalesce("k", zero)).alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"),
+        (F.col("base") + F.coalesce("b", F.lit(0.0))).alias("base_score"), (F.col("own") + F.coalesce("s", F.lit(0.0))).alias("score"),
+    )
 
 
 def op2_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     training = docs.where(remainder("doc_id", 7) != 2)
     counts = written(count_words(training), "lm-counts")
-    model, total = fit(training, counts)
-    scored = score(docs, counts, model, total)
+    scored = score(docs, counts, fit(training, counts))
     return scored.select("doc_id", (remainder("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

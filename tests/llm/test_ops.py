@@ -75,21 +75,62 @@ def test_lm_base_and_gain(spark, sf_dir):
 
 
 def test_lm_probabilities_sum_to_one():
-    model = lm.Model(lm.Params(12, 4), [b"w%d" % i for i in range(10)])
-    for u, v in itertools.product(range(12), repeat=2):
-        rows = np.array([(u, v, w) for w in range(12)])
-        assert math.isclose(np.exp(model.logp(rows)).sum(), 1, rel_tol=1e-5)
+    p = np.random.default_rng(1).random(60)
+    params = lm.Params(np.sort(p / p.sum())[::-1], 4)
+    params.m += np.random.default_rng(2).standard_normal(params.m.shape).astype(np.float32)
+    for u, v in [(0, 0), (3, 59), (59, 1), (20, 20)]:
+        each = [lm.log_p(params, np.array([v, u, w]))[0] for w in range(60)]
+        assert math.isclose(np.exp(each).sum(), 1, rel_tol=1e-5)
+    params.m[5, :4] = 500  # beyond what exp of a single-precision number can hold
+    assert np.isfinite(lm.log_p(params, np.array([5, 5, 5, 1, 2]))).all()
+
+
+def test_lm_scores_equal_brute_force(spark):
+    """Softmaxes over all groups and all ids of a group, token by token, and shares of classes by plain counts."""
+    texts = [prose(i, 50) for i in range(60)] + [None, "", "Alpha1 zzz unheard"]
+    df = documents(spark, [(i, t, "s", None) for i, t in enumerate(texts)])
+    train = df.where("doc_id < 50")
+    counts = lm.count_words(train)
+    model = lm.fit(train, counts, head=3.0)
+    n, p = Counter(w for t in texts[:50] for w in [*lm.words_of(t), lm.END]), model.params
+    head = set(model.head)
+    assert len(head) == math.ceil(3 * math.sqrt(sum(n.values()))) + 1 and min(n[w] for w in head - {lm.END}) >= max(c for w, c in n.items() if w not in head)
+    soft = lambda x: x - np.log(np.exp(x).sum())
+    for r in lm.score(df, counts, model).collect():
+        tokens, total = [*lm.words_of(texts[r.doc_id]), lm.END], 0.0
+        ids = [model.head.get(w, model.tails[lm.tail_of(w)]) for w in [lm.END, lm.END, *tokens]]
+        for k, w in enumerate(tokens):
+            v, u, i = ids[k : k + 3]
+            q = (p.r[u] * p.c[0] + p.r[v] * p.c[1]).astype(np.float64)
+            g = p.of[i]
+            own = slice(p.starts[g], p.starts[g] + p.sizes[g])
+            total += soft(p.g @ q + p.gb)[g] + soft(p.r[own] @ q + p.b[own])[i - p.starts[g]]
+            if w not in head:
+                total += math.log(max(1, n[w]) / (1 + sum(c for x, c in n.items() if x not in head and lm.tail_of(x) == lm.tail_of(w))))
+        assert math.isclose(r.score, total / lm.LN10, rel_tol=1e-4)
+
+
+def test_lm_does_not_depend_on_partitions(spark, sf_dir):
+    d = docs(spark, sf_dir).select("doc_id", "text")
+    train, found = d.where("doc_id % 7 != 2"), []
+    for n in (1, 16, 200):
+        dealt = train.repartition(n, "text")
+        counts = lm.count_words(dealt)
+        model = lm.fit(dealt, counts, shard_tokens=20_000)
+        rows = lm.score(d.where("doc_id % 7 = 2"), counts, model).collect()
+        found.append(sorted((r.doc_id, r.score) for r in rows))
+        assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
+    assert np.allclose([x for _, x in found[0]], [x for _, x in found[1]], rtol=1e-9) and np.allclose([x for _, x in found[0]], [x for _, x in found[2]], rtol=1e-9)
 
 
 def test_lm_cases(spark):
     df = documents(spark, [(1, None, None, None), (1, None, None, None), (2, "", "s", None), (3, "A a b", "s", None), (4, "a " * 5000, "s", None)])
     counts = lm.count_words(df)
-    model, total = lm.fit(df, counts)
-    got = sorted((r.doc_id, r.n_tokens) for r in lm.score(df, counts, model, total).collect())
+    got = sorted((r.doc_id, r.n_tokens) for r in lm.score(df, counts, lm.fit(df, counts)).collect())
     assert got == [(1, 1), (1, 1), (2, 1), (3, 4), (4, 5001)]
     none = lm.count_words(df.limit(0))
-    model, total = lm.fit(df.limit(0), none)
-    assert total == 0 and lm.score(df, none, model, total).count() == 5 and lm.score(df.limit(0), none, model, total).count() == 0
+    model = lm.fit(df.limit(0), none)
+    assert model.total == 0 and lm.score(df, none, model).count() == 5 and lm.score(df.limit(0), none, model).count() == 0
 
 
 # 3
