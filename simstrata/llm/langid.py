@@ -5,9 +5,9 @@ log-probabilities (one per language) is that of its word if the word is known; e
 are looked up, and each stretch of the word that no known n-gram of that order covers is tried with the next shorter
 order, each step down costing ``BACKOFF``. Vectors add up over the tokens of a text.
 
-``fit`` learns from about ``max_docs`` labelled texts, drawn by a hash of text and language, and keeps at most
-``max_words`` words and ``max_grams`` n-grams; these bounds are parameters, and bound what is broadcast. Whole texts
-are read in training and in prediction.
+``fit`` learns from about ``max_docs`` labelled texts, drawn by a hash of text and language: a documented parameter that
+bounds what is broadcast. Of these it knows all words and n-grams that occur at least ``least`` times. Whole texts are
+read in training and in prediction. Letters are those of the Unicode category L, in both.
 
 Defined cases: null texts, empty texts and texts without a letter get ``und`` with score 0; ties between languages go
 to the first in alphabetical order; with no labelled text at all every text gets ``und``; repeated rows are judged one by
@@ -16,21 +16,21 @@ one; an empty table gives an empty table; other columns pass through, those name
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from simstrata.llm.common import remainder, written
 
-MAX_DOCS, MAX_WORDS, MAX_GRAMS, ORDER = 20_000, 100_000, 100_000, 5
+MAX_DOCS, LEAST, ORDER = 10_000, 3, 5
 BACKOFF, CACHE = np.log(0.4), 200_000
 
-_WORD = re.compile(r"[^\W\d_]+")
+_WORD = regex.compile(r"\p{L}+")
 
 
 @dataclass
@@ -68,8 +68,8 @@ def model_of(counts: list[tuple[str, dict[str, int]]], grams: list[tuple[int, st
 
 
 def fit(
-    df: DataFrame, text: str = "text", lang: str = "lang", max_docs: int = MAX_DOCS, max_words: int = MAX_WORDS,
-    max_grams: int = MAX_GRAMS, order: int = ORDER,
+    df: DataFrame, text: str = "text", lang: str = "lang", max_docs: int = MAX_DOCS, least: int = LEAST,
+    order: int = ORDER,
 ) -> Model:
     """Learn from ``df``'s non-null languages and texts, on a bounded sample of rows (see above)."""
     rows = df.select(F.col(text).alias("t"), F.col(lang).alias("l")).where("t is not null and l is not null")
@@ -80,15 +80,15 @@ def fit(
     counted = words.groupBy("w", "l").agg(F.count("*").alias("n"))
     by = F.map_from_entries(F.collect_list(F.struct("l", "n"))).alias("by")
     per_word = counted.groupBy("w").agg(F.sum("n").alias("all"), by)
-    top = written(per_word.where(F.length("w") <= 64).orderBy(F.desc("all"), "w").limit(max_words).select("w", "by"), "langid-words")
-    # The n-grams of all these words, counted where the words are; only the most frequent come to the driver.
+    top = written(per_word.where(F.col("all") >= least).select("w", "by"), "langid-words")
+    # The n-grams of all these words, counted where the words are.
     padded = top.select(F.concat(F.lit(" "), "w", F.lit(" ")).alias("p"), "by")
     sized = padded.select("p", "by", F.explode(F.sequence(F.lit(1), F.lit(order))).alias("n")).where("length(p) >= n")
     spots = sized.select("n", "by", F.expr("explode(transform(sequence(1, length(p) - n + 1), i -> substring(p, i, n)))").alias("g"))
     flat = spots.select("n", "g", F.explode("by").alias("l", "c")).groupBy("n", "g", "l").agg(F.sum("c").alias("c"))
     grams = flat.groupBy("n", "g").agg(F.sum("c").alias("all"), F.map_from_entries(F.collect_list(F.struct("l", "c"))).alias("by"))
-    best = grams.orderBy(F.desc("all"), "n", "g").limit(max_grams).select("n", "g", "by").toLocalIterator()
-    return model_of([(r.w, r.by) for r in top.toLocalIterator()], [(r.n, r.g, r.by) for r in best], order)
+    best = grams.where(F.col("all") >= least).select("n", "g", "by").toLocalIterator()
+    return model_of(sorted(((r.w, r.by) for r in top.toLocalIterator()), key=lambda r: r[0]), sorted(((r.n, r.g, r.by) for r in best), key=lambda r: r[:2]), order)
 
 
 class _Rows(dict):

@@ -1,15 +1,16 @@
 """Operator 6: conflict-constrained best-fit packing of documents into bins of ``capacity`` words.
 
 A document takes its words and one end. Longer documents are cut into whole bins and a rest; the rest is packed as an
-item. A bin never holds two items of the same duplicate cluster (texts equal but for case and white space), and at most
+item. A bin never holds two items of the same duplicate cluster (by default texts equal but for case and white space;
+``items_of`` also takes the classes of the near-duplicate operator, which cost more than packing itself), and at most
 ``max_per_source`` items of a source. Every open bin carries a bitmap of the clusters and counts of the sources it
 holds, open bins are ordered by what is left in them, and for each item (largest first) the search goes from the
 smallest bin that has room to its successors until a compatible one is found: the tightest compatible bin. If there is
 none, the item opens a new bin.
 
-Items are dealt to shards of about ``shard_rows`` items by a hash of id, cluster and length, and each shard is packed
-by itself; so shards are of the same size however large a source or a cluster is, and only ids and lengths are
-shuffled, not texts. ``shard_rows`` bounds the memory and the time of a task; the number of shards follows the number
+Items are dealt to shards of about ``shard_rows`` items by a hash of id, source, cluster, length and a number among
+equal items, and each shard is packed by itself: the tightest compatible bin is that of the shard. So shards are of the
+same size however many rows are alike, and only ids and lengths are shuffled, not texts. ``shard_rows`` bounds the memory and the time of a task; the number of shards follows the number
 of rows. No row is dropped.
 
 Defined cases: null and empty texts take one word (the end); a null source is a source of its own; ties go to the
@@ -25,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from simstrata.llm.common import WS
+from simstrata.llm.common import WS, written
 
 CAPACITY, MAX_PER_SOURCE, SHARD_ROWS = 4096, 4, 4096
 SCHEMA = "doc_id long, piece int, start long, n_words long, bin_id string, bin_offset long"
@@ -76,16 +77,21 @@ def best_fit(items: list[tuple[int, int, int]], capacity: int = CAPACITY, max_pe
     return out
 
 
-def items_of(df: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """(doc_id, source, cluster, n_words) of each row."""
+def items_of(df: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", classes: DataFrame | None = None) -> DataFrame:
+    """(doc_id, source, cluster, n_words) of each row. ``classes`` (id, class_id), one row an id, name clusters of near copies."""
     t = F.coalesce(F.col(text), F.lit(""))
     words = F.size(F.array_remove(F.split(t, WS), "")) + 1
-    cluster = F.xxhash64(F.lower(F.regexp_replace(t, f"^{WS}|{WS}$|{WS}", " ")))
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), cluster.alias("cluster"), words.cast("long").alias("n_words"))
+    cluster = F.xxhash64(F.lower(F.regexp_replace(F.regexp_replace(t, f"^{WS}|{WS}$", ""), WS, " ")))
+    items = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), cluster.alias("cluster"), words.cast("long").alias("n_words"))
+    if classes is None:
+        return items
+    named = items.join(classes.select(F.col("id").alias("doc_id"), "class_id"), "doc_id", "left")
+    return named.select("doc_id", "source", F.coalesce("class_id", "cluster").alias("cluster"), "n_words")
 
 
 def pack(items: DataFrame, capacity: int = CAPACITY, max_per_source: int = MAX_PER_SOURCE, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """Rows of ``SCHEMA`` for (doc_id, source, cluster, n_words): where each piece of each document goes."""
+    items = written(items, "pack-items")
     shards = max(1, -(-items.count() // shard_rows))
 
     def shard(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -106,7 +112,10 @@ def pack(items: DataFrame, capacity: int = CAPACITY, max_per_source: int = MAX_P
         out = pd.DataFrame(full, columns=["doc_id", "piece", "start", "n_words", "bin_id", "bin_offset"])
         return out.astype({"doc_id": "Int64"})
 
-    dealt = items.withColumn("shard", F.pmod(F.xxhash64("doc_id", "cluster", "n_words"), F.lit(shards)).cast("long"))
+    columns = ["doc_id", "source", "cluster", "n_words"]
+    # Equal rows meet as one with a count first, so none of them makes a shard large.
+    each = items.groupBy(*columns).agg(F.count("*").cast("int").alias("n")).select(*columns, F.explode(F.sequence(F.lit(1), F.col("n"))).alias("k"))
+    dealt = each.withColumn("shard", F.pmod(F.xxhash64(*columns, "k"), F.lit(shards)).cast("long")).drop("k")
     return dealt.groupBy("shard").applyInPandas(shard, SCHEMA)
 
 

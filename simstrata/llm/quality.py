@@ -115,16 +115,19 @@ def verdict(joined: DataFrame, min_kept: float = MIN_KEPT) -> DataFrame:
 
 
 def clean(df: DataFrame, text: str = "text", host: str = "source", min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, min_kept: float = MIN_KEPT) -> DataFrame:
-    """The rows of ``df`` that are kept, with their frequent lines removed from the text."""
+    """The rows of ``df`` that are kept, with their frequent lines removed from the text. Columns may have any names."""
+    names = df.columns
+    df = df.toDF(*(f"__column{i}" for i in range(len(names))))
+    text, host = (f"__column{names.index(c)}" for c in (text, host))
     removed = removed_lines(df, text, host, min_docs, max_share)
     # The id, which isn't deterministic, keeps the optimizer from pushing the filter down into the counts and unfolding
     # all their steps into one expression.
     counted = base_counts(df, text).withColumn("__stop", F.monotonically_increasing_id())
-    kept = counted.where(~F.col("base_failed") & (F.col("__stop") >= 0)).drop(*BASE, "__stop").withColumn("base_failed", F.lit(False))
+    kept = counted.where(~F.col("base_failed") & (F.col("__stop") >= 0)).drop(*BASE, "__stop")
     joined = with_removed(kept, removed, text, host).withColumn("__lines", line_hashes(F.col(text)))
     judged = verdict(joined, min_kept).where("kept")
     left = F.array_join(F.filter(F.split(F.col(text), "\n"), lambda x: ~F.array_contains(F.col("__removed"), F.xxhash64(normalised(x)))), "\n")
-    return judged.withColumn(text, F.when(F.col("__removed").isNull(), F.col(text)).otherwise(left)).select(*df.columns)
+    return judged.withColumn(text, F.when(F.col("__removed").isNull(), F.col(text)).otherwise(left)).select(*df.columns).toDF(*names)
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

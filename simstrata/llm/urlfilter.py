@@ -9,7 +9,7 @@ counted. All substrings of the distinct host labels are joined with the unigram
 whole vocabulary without shipping it. Words of the segmented host and of the path are hashed into ``BUCKETS`` features,
 which bounds the model that is broadcast; numbers are features by their length.
 
-A host's words are found once per distinct host, and joined back over the host and a salt, so a hot host is spread.
+A host's words are found once per distinct host, and joined back to the rows.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path and is judged by the prior alone; ties
 between verdicts go to ``allow``; between rules of equal length to ``block``; if no url is decided by a rule, the seeds
@@ -27,9 +27,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from simstrata.llm.common import written
+
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 SEEDS = {"block": ("casino", "win", "spam", "farm", "adult", "porn", "xxx", "sex", "ads", "track", "bet", "poker", "viagra", "phish", "malware"), "allow": ("blog", "news", "docs", "wiki", "edu")}
-SEED_WEIGHT, BUCKETS, SALTS, LONGEST = 1000.0, 1 << 16, 16, 24
+#: Each seed word counts as this share of its verdict's features, and of ``SEED_BASE`` more.
+SEED_SHARE, SEED_BASE, BUCKETS = 0.02, 10_000, 1 << 16
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -53,17 +56,23 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 def unigrams(text: DataFrame, col: str) -> DataFrame:
     """(word, n): the words of a-z of a text column, lower-cased, over all rows."""
     words = text.select(F.explode(F.split(F.lower(F.col(col)), "[^a-z]+")).alias("word"))
-    return words.where((F.length("word") > 0) & (F.length("word") <= LONGEST)).groupBy("word").agg(F.count("*").alias("n"))
+    return words.where(F.length("word") > 0).groupBy("word").agg(F.count("*").alias("n"))
 
 
 def viterbi(label: str, logp: dict[str, float], unknown: float) -> list[str]:
-    """Best split of a label into words; an unknown word of length k costs ``unknown * k``."""
+    """Best split of a label into words; an unknown word of length k costs ``unknown * k - 2``."""
+    longest = max(map(len, logp), default=0)
     best, back = [0.0] + [-math.inf] * len(label), [0] * (len(label) + 1)
+    run, start = -math.inf, 0  # the best split that ends in an unknown word, and where that word begins
     for j in range(1, len(label) + 1):
-        for i in range(max(0, j - LONGEST), j):
-            s = best[i] + logp.get(label[i:j], unknown * (j - i) - 2)
-            if s > best[j]:
-                best[j], back[j] = s, i
+        if best[j - 1] - 2 > run:
+            run, start = best[j - 1] - 2, j - 1
+        run += unknown
+        best[j], back[j] = run, start
+        for i in range(max(0, j - longest), j):
+            p = logp.get(label[i:j])
+            if p is not None and best[i] + p > best[j]:
+                best[j], back[j] = best[i] + p, i
     out, j = [], len(label)
     while j:
         out.append(label[back[j] : j])
@@ -73,23 +82,19 @@ def viterbi(label: str, logp: dict[str, float], unknown: float) -> list[str]:
 
 def segment(labels: DataFrame, counts: DataFrame) -> DataFrame:
     """(label, words) for distinct ``label``s, by the unigram counts (word, n)."""
-    total = counts.agg(F.sum("n").alias("total"))
+    whole = counts.agg(F.sum("n").alias("total"), F.max(F.length("word")).alias("longest")).first()
+    total, longest = whole.total or 1, whole.longest or 1  # no substring longer than the longest word is one
     spots = labels.where(F.length("label") > 0).select("label", F.explode(F.expr("sequence(1, length(label))")).alias("i"))
-    subs = spots.select("label", F.explode(F.expr(f"transform(sequence(1, least({LONGEST}, length(label) - i + 1)), k -> substring(label, i, k))")).alias("word"))
+    subs = spots.select("label", F.explode(F.expr(f"transform(sequence(1, least({longest}, length(label) - i + 1)), k -> substring(label, i, k))")).alias("word"))
     known = subs.distinct().join(counts, "word").groupBy("label").agg(F.collect_list(F.struct("word", "n")).alias("found"))
-    rows = labels.join(known, "label", "left").join(F.broadcast(total))  # one row: a total
 
     @F.pandas_udf("array<string>")
-    def split(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for label, found, total in batches:
-            out = []
-            for x, f, n in zip(label, found, total, strict=True):
-                n = float(n or 1) if n == n else 1.0
-                logp = {d["word"]: math.log(d["n"] / n) for d in f} if f is not None else {}
-                out.append(viterbi(x, logp, -math.log(n + 1) / 2 - 1) if x else [])
-            yield pd.Series(out)
+    def split(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for label, found in batches:
+            logps = ({d["word"]: math.log(d["n"] / total) for d in f} if f is not None else {} for f in found)
+            yield pd.Series([viterbi(x, logp, -math.log(total + 1) / 2 - 1) if x else [] for x, logp in zip(label, logps, strict=True)])
 
-    return rows.select("label", split("label", "found", "total").alias("words"))
+    return labels.join(known, "label", "left").select("label", split("label", "found").alias("words"))
 
 
 def features(words: Column) -> Column:
@@ -109,14 +114,14 @@ def judge(df: DataFrame, words: DataFrame, id_col: str = "page_id", url: str = "
 
     hosts = rows.groupBy("host").agg(F.count("*").alias("n"))
     parts = hosts.select("host", F.split("host", "[^a-z0-9]+").alias("labels"))
-    labels = parts.select(F.explode("labels").alias("label")).where("label != ''").distinct()
-    split = segment(labels, words)
+    labels = written(parts.select(F.explode("labels").alias("label")).where("label != ''").distinct(), "url-labels")
+    split = segment(labels, written(words, "url-words"))
     tokens = parts.select("host", F.posexplode("labels").alias("i", "label")).join(split, "label")
     tokens = tokens.groupBy("host").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("i", "words"))), lambda x: x.words)).alias("host_words"))
-    tokens = tokens.withColumn("host_features", features("host_words"))
-    salted = tokens.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("id", "path"), F.lit(SALTS)).cast("int"))
-    rows = rows.join(salted, ["host", "salt"], "left").withColumn("all_features", F.concat(F.coalesce("host_features", F.array().cast("array<int>")), "path_features"))
+    tokens = written(tokens.withColumn("host_features", features("host_words")), "url-hosts")
+    # A join of plain tables, so adaptive execution splits the rows of a hot host; written, as it is read three times.
+    rows = rows.join(tokens, "host", "left").withColumn("all_features", F.concat(F.coalesce("host_features", F.array().cast("array<int>")), "path_features"))
+    rows = written(rows, "url-rows")
 
     # At most 2 * BUCKETS rows come to the driver, whatever the size of the table.
     trained = rows.where("ruled is not null").select("ruled", F.explode("all_features").alias("f")).groupBy("ruled", "f").agg(F.count("*").alias("n")).collect()
@@ -126,7 +131,7 @@ def judge(df: DataFrame, words: DataFrame, id_col: str = "page_id", url: str = "
     for r in trained:
         counts[r.ruled][r.f] += r.n
     for r in seeded:
-        share = SEED_WEIGHT * max(1.0, sum(docs.values()) / 1e4)
+        share = SEED_SHARE * (counts[r.v].sum() - BUCKETS / 2 + SEED_BASE)
         for f in r.fs:
             counts[r.v][f] += share
     odds = np.log(counts["block"] / counts["block"].sum()) - np.log(counts["allow"] / counts["allow"].sum())

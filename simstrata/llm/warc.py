@@ -40,7 +40,8 @@ def _header(record_type: Column) -> Column:
         field("WARC-Date", F.lit(DATE)),
         field("WARC-Target-URI", F.regexp_replace(F.coalesce(F.col("url"), F.lit("")), "[\r\n]", " ")),
         field("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("sha1"))),
-        field("WARC-Block-Digest", F.concat(F.lit("sha256:"), F.col("digest"))),
+        field("WARC-Block-Digest", F.concat(F.lit("sha256:"), F.when(is_revisit, F.sha2(F.lit(b""), 256)).otherwise(F.col("digest")))),
+        field("X-Payload-SHA256", F.col("digest")),
         F.when(is_revisit, F.concat(
             field("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
             field("WARC-Refers-To", F.concat(F.lit("<urn:page:"), F.col("leader").cast("string"), F.lit(">"))),
