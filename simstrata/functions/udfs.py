@@ -54,6 +54,13 @@ def byte_diff(a: pd.Series, b: pd.Series) -> pd.Series:
     return _series([None if p is None else [{"off": int(o), "delta": int(d)} for o, d in zip(*p, strict=True)] for p in pairs])
 
 
+@F.pandas_udf(T.BinaryType())
+def byte_mask(a: pd.Series, b: pd.Series) -> pd.Series:
+    """A bit for each byte, set where two chunks of one length differ; the lowest bit of a byte first."""
+    pairs = ((None if x is None or y is None else np.frombuffer(x, np.uint8) != np.frombuffer(y, np.uint8)) for x, y in zip(a, b, strict=True))
+    return _series([None if p is None else np.packbits(p, bitorder="little").tobytes() for p in pairs])
+
+
 @F.pandas_udf(T.BinaryType())
 def apply_diff(base: pd.Series, offsets: pd.Series, deltas: pd.Series) -> pd.Series:
     rows = zip(base, offsets, deltas, strict=True)
@@ -118,7 +125,7 @@ class ccf_blocks:  # noqa: N801
 
 
 ALL = {
-    "lsh_vector": lsh_vector, "lane_hashes": lane_hashes, "byte_hamming": byte_hamming, "byte_diff": byte_diff, "apply_diff": apply_diff,
+    "lsh_vector": lsh_vector, "lane_hashes": lane_hashes, "byte_hamming": byte_hamming, "byte_diff": byte_diff, "byte_mask": byte_mask, "apply_diff": apply_diff,
     "murmur3_32": murmur3_32, "mix64": mix64, "byte_entropy": byte_entropy, "zstd_compress": zstd_compress, "zstd_decompress": zstd_decompress,
     "ccf_parse": ccf_parse,
 }

@@ -30,6 +30,13 @@ def windows(files: DataFrame, size: int) -> DataFrame:
     return found.select("file_id", "block_idx", F.expr(f"substring(bytes, block_idx * {size} + 1, {size})").alias("block"))
 
 
+def frames(files: DataFrame, size: int = 1 << 20) -> DataFrame:
+    """(file_id, seq, data, eof): ``windows`` as frames of a stream."""
+    last = F.greatest(F.lit(0), F.ceil(F.length("bytes") / size).cast("int") - 1)
+    cut = files.select("file_id", "bytes", last.alias("last"), F.explode(F.sequence(F.lit(0), last)).alias("seq"))
+    return cut.select("file_id", "seq", F.expr(f"substring(bytes, seq * {size} + 1, {size})").alias("data"), (F.col("seq") == F.col("last")).alias("eof"))
+
+
 def guid(chunk: str = "chunk") -> Column:
     return F.sha2(F.col(chunk), 256)
 

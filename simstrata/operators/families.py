@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from simstrata.functions import udfs
 from simstrata.sources import ccf
+from simstrata.sources.shared import materialised
 
 I_FRAME, P_FRAME, KEEP_BELOW, MIN_FAMILY = 0, 1, 0.85, 3
 
@@ -31,16 +32,31 @@ def minhash_families(refs: DataFrame, seed: int = 0) -> DataFrame:
 def catalog(refs: DataFrame, position: str = "pos") -> DataFrame:
     """(bucket_id, chunk_id, idx): dense numbers of distinct references by first appearance.
 
-    The numbers are built from counts per range of positions, so no task holds the whole catalog.
+    The numbers are built from counts per range of positions, so no task holds the whole catalog. The ranges are written
+    once, as both branches must see the same.
     """
     first = refs.groupBy("bucket_id", "chunk_id").agg(F.min(position).alias("first"))
-    part = first.repartitionByRange("first", "bucket_id", "chunk_id").sortWithinPartitions("first", "bucket_id", "chunk_id").withColumn("part", F.spark_partition_id())
+    part = first.repartitionByRange("first", "bucket_id", "chunk_id").withColumn("part", F.spark_partition_id())
+    part = materialised(part, "catalog")
     own = part.withColumn("n", F.row_number().over(Window.partitionBy("part").orderBy("first", "bucket_id", "chunk_id")))
-    before = own.groupBy("part").agg(F.max("n").alias("size"))
+    before = part.groupBy("part").agg(F.count("*").alias("size"))
     start = before.withColumn("start", F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     return own.join(F.broadcast(start.select("part", "start")), "part").select("bucket_id", "chunk_id", (F.col("start") + F.col("n") - 1).alias("idx"))
 
 
+def decoded(encoded: DataFrame, named: DataFrame) -> DataFrame:
+    """References by their numbers in the catalog."""
+    return encoded.join(named.select("idx", "bucket_id", "chunk_id"), "idx")
+
+
+def source_packs(entries: DataFrame, most: int = 2) -> DataFrame:
+    """(family, pack_id, n, rnk): of each scattered family the ``most`` packs that hold most of its members."""
+    per = entries.groupBy("family", "pack_id").agg(F.count("*").alias("n"))
+    w = Window.partitionBy("family").orderBy(F.desc("n"), "pack_id")
+    ranked = per.withColumn("rnk", F.row_number().over(w)).where(F.col("rnk") <= most)
+    return ranked.join(scattered(entries).select("family"), "family", "left_semi")
+
+
 def frames(entries: DataFrame, keep_below: float = KEEP_BELOW) -> DataFrame:
     """Entries (file_id, family, blob) as (file_id, family, frame_type, base_id, data).
 

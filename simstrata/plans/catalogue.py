@@ -498,7 +498,7 @@ def _stages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("stage"), F.col("value").alias("ms"), "ts", "user_id", "props")
 
 
-@query("SELECT event_type AS stage, count(value) AS n, min(value) AS min_ms, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99, max(value) AS max_ms FROM events GROUP BY event_type")
+@query("SELECT event_type AS stage, count(value) AS n, round(sum(value), 4) AS total, min(value) AS min_ms, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99, max(value) AS max_ms FROM events GROUP BY event_type")
 def stage_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telemetry.stage_percentiles(_stages(spark, sf_dir))
 
@@ -553,9 +553,15 @@ def json_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k long").k.alias("k"))
 
 
+def _all() -> None:
+    from simstrata.plans import derived  # noqa: F401  registers its queries here
+
+
 def queries() -> dict[str, Query]:
+    _all()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _all()
     return dict(_SQL)

@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a temporary folder only where that is unset, as on a single machine."""
+    """``spark.checkpoint.dir``. Where that is unset, a temporary folder takes its place if the driver runs all tasks
+    itself (tests); on a cluster that is an error."""
     given = spark.conf.get("spark.checkpoint.dir", None)
     if not given:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         given = "file://" + tempfile.mkdtemp(prefix="simstrata-")
         spark.conf.set("spark.checkpoint.dir", given)
     return given.rstrip("/")

@@ -13,10 +13,10 @@ FAILURES, COOLDOWN_S = 5, 30
 
 
 def stage_percentiles(df: DataFrame, stage: str = "stage", ms: str = "ms") -> DataFrame:
-    """(stage, n, min, p50, p95, p99, max), exact, by linear interpolation."""
+    """(stage, n, total, min, p50, p95, p99, max), exact, by linear interpolation."""
     p = F.percentile(ms, F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
-    rows = df.groupBy(stage).agg(F.count(ms).alias("n"), F.min(ms).alias("min_ms"), p.alias("p"), F.max(ms).alias("max_ms"))
-    return rows.select(stage, "n", "min_ms", *(F.round(F.col("p")[i], 6).alias(f"p{q}") for i, q in enumerate((50, 95, 99))), "max_ms")
+    rows = df.groupBy(stage).agg(F.count(ms).alias("n"), F.round(F.sum(ms), 4).alias("total"), F.min(ms).alias("min_ms"), p.alias("p"), F.max(ms).alias("max_ms"))
+    return rows.select(stage, "n", "total", "min_ms", *(F.round(F.col("p")[i], 6).alias(f"p{q}") for i, q in enumerate((50, 95, 99))), "max_ms")
 
 
 def last_samples(df: DataFrame, stage: str, ts: str, tie: str, n: int = LAST, seconds: int = 300) -> DataFrame:
@@ -74,6 +74,18 @@ def health(probes: DataFrame, key: str, order: list[str], ok: str, down: int = 3
     return rows.withColumn("state", F.when(F.col("failures") == 0, "healthy").when(F.col("failures") < down, "suspect").otherwise("down"))
 
 
+def block_job(parent: Column, block: Column) -> Column:
+    """(parent_job_id, job_id) of a block of a job."""
+    return F.struct(parent.alias("parent_job_id"), F.concat(parent, F.lit(":b"), block.cast("string")).alias("job_id"))
+
+
+def membership_changes(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
+    """(key, before, after, stays) of every member of either."""
+    a, b = (df.select(key).distinct().withColumn(name, F.lit(True)) for df, name in ((before, "before"), (after, "after")))
+    both = a.join(b, key, "full").select(key, F.coalesce("before", F.lit(False)).alias("before"), F.coalesce("after", F.lit(False)).alias("after"))
+    return both.withColumn("stays", F.col("before") & F.col("after"))
+
+
 def jobs(events: DataFrame, job: str, ts: str, phase: str) -> DataFrame:
     """(job, started, ended, n_events, status)."""
     ended = F.max(F.when(F.col(phase).isin("completed", "failed"), F.col(ts)))
@@ -119,11 +131,6 @@ def breaker(calls: DataFrame, key: str = "agent", ts: str = "ts", ok: str = "ok"
     return rows.groupBy(key).applyInPandasWithState(stateful, schema, "name string, failures int, opened double", "append", "NoTimeout")
 
 
-def backoff_s(attempt: Column) -> Column:
-    """1, 2, 5, 10, then 20 seconds."""
-    return F.when(attempt <= 1, 1).when(attempt == 2, 2).when(attempt == 3, 5).when(attempt == 4, 10).otherwise(20)
-
-
 def load_factor(cpu: Column, memory: Column) -> Column:
     """Share of the usual parallelism by the loads (0 to 1) of CPU and memory: the smaller of the two factors."""
     steps = lambda x, limits: F.when(x >= limits[0], 0.30).when(x >= limits[1], 0.50).when(x >= limits[2], 0.75).otherwise(1.0)
