@@ -2,8 +2,8 @@
 
 Tokens are the words ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased, and one end per text. All training tokens are counted.
 
-The ``HEAD`` times square root of N most frequent words (N: the training tokens), the end, and ``TAILS`` classes of all
-other words by their last three bytes are the *ids*; so what the driver and the tasks hold grows with the square root of
+The most frequent words (all of the same counts, ``HEAD`` times the square root of N at most; N: the training tokens),
+the end, and ``TAILS`` classes of all other words by their last three bytes are the *ids*; so what the driver and the tasks hold grows with the square root of
 the corpus. Every word has a probability: p(w | u, v) = p(id | q) p(w | id), where the two ids before give
 q = c1 r_u + c2 r_v, and p(w | id) is 1 for an id of its own, else the word's share of its class, in which one more
 count stands for all words that were never counted. p(id | q) = p(group | q) p(id | group, q), both factors being
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from simstrata.llm.common import remainder, written
 
 DIM, NOISE, BATCH, RATE, FLUSH, BLOCK = 16, 32, 4096, 0.1, 200_000, 4096
-HEAD, TAILS, SHARD_TOKENS, LESSON = 8.0, 256, 4_000_000, 500_000
+HEAD, TAILS, SHARD_TOKENS, LESSON = 5.0, 256, 4_000_000, 500_000
 END = b" "  # can't be a word
 LN10 = math.log(10)
 
@@ -234,8 +234,14 @@ def start_of(counts: DataFrame, head: float = HEAD, dim: int = DIM) -> Model:
     by_class = {r.tail: r for r in counts.where(F.col("word") != F.lit(END)).groupBy(tail.alias("tail")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}
     n_end = sum(r.n for r in counts.where(F.col("word") == F.lit(END)).collect())
     total = n_end + sum(r.n for r in by_class.values())
-    size = math.ceil(head * math.sqrt(total))
-    top = counts.where(F.col("word") != F.lit(END)).orderBy(F.desc("n"), "word").limit(size).collect() if size else []
+    # How many words have each count: as many rows as there are different counts, at most the square root of 2 N.
+    words, size, least, held = counts.where(F.col("word") != F.lit(END)), head * math.sqrt(total), None, 0
+    for r in sorted(words.groupBy("n").agg(F.count("*").alias("words")).collect(), key=lambda r: -r.n):
+        held += r.words
+        if held > size:
+            break
+        least = r.n
+    top = sorted(words.where(F.col("n") >= least).collect(), key=lambda r: (-r.n, bytes(r.word))) if least else []
     masses = np.array([by_class[t].n if t in by_class else 0 for t in range(TAILS)], np.int64)
     for r in top:
         masses[tail_of(bytes(r.word))] -= r.n
