@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,6 +59,45 @@ def column_runs(values: DataFrame, by: list[str], order: str, value: str) -> Dat
     return found.where("len >= 3").withColumn("savings", savings).drop("__run")
 
 
+def _spans(kind: str, delta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start, length, delta) of the differences of a matrix, one row per chunk.
+
+    ``runs``: neighbours with one delta; ``literals``: neighbours with any; ``gaps``: every difference by itself, its
+    length being the distance from the one before.
+    """
+    n, size = delta.shape
+    row, off = np.nonzero(delta)
+    value = delta[row, off]
+    joins = np.zeros(len(row), bool)
+    if len(row) > 1:
+        joins[1:] = (row[1:] == row[:-1]) & (off[1:] == off[:-1] + 1)
+        if kind == "runs":
+            joins[1:] &= value[1:] == value[:-1]
+    if kind == "gaps":
+        same = np.r_[False, row[1:] == row[:-1]][: len(row)]
+        return row, off, off - np.where(same, np.r_[0, off[:-1]][: len(row)], 0), value
+    starts = np.flatnonzero(~joins)
+    return row[starts], off[starts], np.diff(np.r_[starts, len(row)]), value[starts]
+
+
+def spans(pairs: DataFrame, kind: str, new: str = "chunk", base: str = "base") -> DataFrame:
+    """(start, len, delta) of all differences between chunks of one length, by kind (see above). A narrow step: all of a
+    chunk's bytes are in its row, so nothing is shuffled."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (batch.column(k).to_pylist() for k in (0, 1))
+            for size in sorted({len(a) for a in x}):
+                own = [(a, b) for a, b in zip(x, y, strict=True) if len(a) == size]
+                for lo in range(0, len(own), step := max(1, (1 << 20) // size)):
+                    a, b = (np.frombuffer(b"".join(p[k] for p in own[lo : lo + step]), np.uint8).reshape(-1, size).astype(np.int16) for k in (0, 1))
+                    _, start, length, delta = _spans(kind, a - b)
+                    yield pa.RecordBatch.from_arrays([pa.array(start, pa.int32()), pa.array(length, pa.int32()), pa.array(delta, pa.int32())], ["start", "len", "delta"])
+
+    usable = pairs.where((F.length(new) == F.length(base)) & (F.length(new) > 0))
+    return usable.select(new, base).mapInArrow(work, "start int, len int, delta int")
+
+
 def bloat_class(n_diff: str | Column, size: int, limit: float = 0.40) -> Column:
     """``exact``, ``diff``, ``tight`` (within the share, but its diff takes more bytes than the chunk) or ``bloated``."""
     n = F.col(n_diff) if isinstance(n_diff, str) else n_diff

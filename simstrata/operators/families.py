@@ -19,14 +19,24 @@ def exact_families(files: DataFrame, refs: str = "refs") -> DataFrame:
     return files.groupBy(F.sha2(refs, 256).alias("family")).agg(F.count("*").alias("members")).where("members > 1")
 
 
-def minhash_families(refs: DataFrame, seed: int = 0) -> DataFrame:
-    """(file_id, family): the least mixed hash over a file's distinct buckets that aren't 0; ``exact:`` and the file's
-    own id where it has none. One band; the minimum is made by partial aggregation."""
-    mixed = refs.where("bucket_id is not null and bucket_id != 0").select("file_id", udfs.mix64(F.col("bucket_id").bitwiseXOR(F.lit(seed))).alias("h"))
+#: Fixed value: the seed of the one band.
+FAMILY_SEED = 0x9E3779B185EBCA87
+
+
+def minhash_families(refs: DataFrame, exact: DataFrame | None = None, seed: int = FAMILY_SEED) -> DataFrame:
+    """(file_id, family): ``ov:`` and the least mixed hash over a file's distinct buckets that aren't 0; for files without
+    one ``exact:`` and the SHA-256 of their references, from ``exact`` (file_id, sha), else that of no references. The
+    minimum is made by partial aggregation."""
+    signed = seed - (1 << 64) if seed >> 63 else seed
+    mixed = refs.where("bucket_id is not null and bucket_id != 0").select("file_id", udfs.mix64(F.col("bucket_id").bitwiseXOR(F.lit(signed))).alias("h"))
     # Minimum of unsigned values: flip the sign bit.
     least = mixed.groupBy("file_id").agg(F.min(F.col("h").bitwiseXOR(F.lit(-(1 << 63)))).alias("m"))
-    named = least.select("file_id", F.lpad(F.lower(F.hex(F.col("m").bitwiseXOR(F.lit(-(1 << 63))))), 16, "0").alias("family"))
-    return refs.select("file_id").distinct().join(named, "file_id", "left").withColumn("family", F.coalesce("family", F.concat(F.lit("exact:"), F.col("file_id").cast("string"))))
+    named = least.select("file_id", F.concat(F.lit("ov:"), F.lpad(F.lower(F.hex(F.col("m").bitwiseXOR(F.lit(-(1 << 63))))), 16, "0")).alias("family"))
+    found = refs.select("file_id").distinct().join(named, "file_id", "left")
+    none = F.sha2(F.lit(b""), 256)
+    if exact is not None:
+        found, none = found.join(exact.select("file_id", "sha"), "file_id", "left"), F.coalesce("sha", none)
+    return found.select("file_id", F.coalesce("family", F.concat(F.lit("exact:"), none)).alias("family"))
 
 
 def catalog(refs: DataFrame, position: str = "pos") -> DataFrame:

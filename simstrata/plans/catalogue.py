@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 
 from simstrata.functions import udfs
 from simstrata.operators import chunking, diffs, families, mosaic, placement, similarity, store
+from simstrata.sources.shared import materialised
 from simstrata.streaming import telemetry
 
+from simstrata.plans import late  # SQL that is made from tables of values
+
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
+_SQL: dict[str, str | Callable[[], str]] = {}
 
 SIZE, GATE, BITS, SIMILAR = 256, 4.0, 8, 0.30
 
@@ -39,7 +42,7 @@ k AS (SELECT * FROM m WHERE similarity >= {SIMILAR}),
 r AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY similarity DESC, s_id) AS rnk FROM k)"""
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
+def query(sql: str | Callable[[], str] | None = None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
         _QUERIES[f.__name__] = f
         if sql:
@@ -235,7 +238,7 @@ def bits_group_representative(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.representatives(_vectors(spark, sf_dir), "vec_id", "vec", "label")
 
 
-@query()
+@query(lambda: late.lsh_bucket_chunks())
 def lsh_bucket_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct chunks by their 64-bit bucket."""
     distinct = _chunks(spark, sf_dir).select(chunking.guid().alias("guid"), "chunk").dropDuplicates(["guid"])
@@ -260,14 +263,14 @@ def _against_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_FIRST_SQL}, w AS (SELECT *, off - row_number() OVER (PARTITION BY guid, delta ORDER BY off) AS i FROM b), r AS (SELECT guid, delta, i, count(*) AS len FROM w GROUP BY ALL) SELECT len, count(*) AS n_runs, CAST(sum(delta) AS BIGINT) AS sum_delta FROM r GROUP BY len")
 def diff_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = diffs.runs(diffs.byte_rows(_against_first(spark, sf_dir), ["guid"]), ["guid"])
-    return found.groupBy("len").agg(F.count("*").alias("n_runs"), F.sum("delta").alias("sum_delta"))
+    found = diffs.spans(_against_first(spark, sf_dir), "runs")
+    return found.groupBy(F.col("len").cast("long").alias("len")).agg(F.count("*").alias("n_runs"), F.sum("delta").alias("sum_delta"))
 
 
 @query(f"WITH {_FIRST_SQL}, w AS (SELECT off - coalesce(lag(off) OVER (PARTITION BY guid ORDER BY off), 0) AS gap FROM b) SELECT gap, count(*) AS n FROM w GROUP BY gap")
 def diff_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = diffs.gaps(diffs.byte_rows(_against_first(spark, sf_dir), ["guid"]), ["guid"])
-    return found.groupBy("gap").agg(F.count("*").alias("n"))
+    found = diffs.spans(_against_first(spark, sf_dir), "gaps")
+    return found.groupBy(F.col("len").alias("gap")).agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {_FIRST_SQL}, h AS (SELECT guid, count(*) FILTER (delta <> 0) AS n FROM x GROUP BY guid) SELECT CAST(least(9, floor(10 * n / {SIZE})) AS INT) AS bin, count(*) AS n_chunks FROM h GROUP BY ALL")
@@ -285,8 +288,8 @@ def bloat_guard_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_FIRST_SQL}, w AS (SELECT guid, off, off - row_number() OVER (PARTITION BY guid ORDER BY off) AS i FROM b), r AS (SELECT guid, i, count(*) AS len FROM w GROUP BY ALL) SELECT len, count(*) AS n_runs FROM r WHERE len BETWEEN 4 AND 255 AND 7 + len < {SIZE} / 8 GROUP BY len")
 def literal_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = diffs.literal_runs(diffs.byte_rows(_against_first(spark, sf_dir), ["guid"]), ["guid"], SIZE)
-    return found.groupBy("len").agg(F.count("*").alias("n_runs"))
+    found = diffs.spans(_against_first(spark, sf_dir), "literals").where((F.col("len") >= 4) & (F.col("len") <= 255) & (7 + F.col("len") < SIZE / 8))
+    return found.groupBy(F.col("len").cast("long").alias("len")).agg(F.count("*").alias("n_runs"))
 
 
 @query("""WITH d AS (SELECT *, l_quantity - lag(l_quantity) OVER w AS step, l_linenumber - lag(l_linenumber) OVER w AS gap FROM (SELECT l_orderkey, l_linenumber, min(l_quantity) AS l_quantity FROM lineitem GROUP BY ALL) WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber)),
@@ -322,7 +325,7 @@ def family_scattered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return families.scattered(least)
 
 
-@query()
+@query(lambda: late.family_minhash())
 def family_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _chunks(spark, sf_dir).withColumn("vec", udfs.lsh_vector("chunk"))
     refs = similarity.signed(rows).select("file_id", "bucket_id")
@@ -344,7 +347,7 @@ def byte_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Codecs: round trips.
 
 
-@query()
+@query("SELECT doc_id AS file_id, CAST(octet_length(encode(coalesce(text, ''))) AS INT) AS n_bytes, true AS ok FROM documents")
 def ccf_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document compressed against an empty store and rebuilt from blobs and store."""
     files = _files(spark, sf_dir)
@@ -363,21 +366,21 @@ def ccf_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.statistics(blobs, SIZE)
 
 
-@query()
+@query("SELECT doc_id AS file_id, CAST(octet_length(encode(coalesce(text, ''))) AS INT) AS n_bytes, CAST(greatest(1, (octet_length(encode(coalesce(text, ''))) + 4095) // 4096) AS BIGINT) AS blocks, 'CV5' AS magic, true AS ok FROM documents")
 def container_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as a container, which is read back, and its blocks rebuilt from it and the store."""
     files = _files(spark, sf_dir)
     blobs, new = store.compress(files, store.empty_store(spark), SIZE, block=4096)
     whole = store.containers(blobs, files)
-    found = whole.select("file_id", F.length("blob").alias("n_bytes"), F.substring("blob", 1, 3).cast("string").alias("magic"))
+    found = whole.select("file_id", F.substring("blob", 1, 3).cast("string").alias("magic"))
     read = store.uncontained(whole)
     back = store.decompress(read.select("file_id", "block_idx", "blob", "original_len"), new)
     joined = back.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("block_idx", "bytes"))).alias("b"), F.min("ok").alias("ok"), F.count("*").alias("n"))
     rebuilt = F.sha2(F.aggregate("b", F.lit(b""), lambda x, r: F.concat(x, r.bytes)), 256)
     held = read.groupBy("file_id").agg(F.any_value("sha").alias("sha"), F.count("*").alias("blocks"))
-    checked = files.select("file_id", F.sha2("bytes", 256).alias("want")).join(held, "file_id", "left").join(joined, "file_id", "left")
+    checked = files.select("file_id", F.length("bytes").alias("n_bytes"), F.sha2("bytes", 256).alias("want")).join(held, "file_id", "left").join(joined, "file_id", "left")
     good = F.col("ok") & (F.col("n") == F.col("blocks")) & (F.col("sha") == F.col("want")) & (rebuilt == F.col("want"))
-    return found.join(checked.select("file_id", F.coalesce(good, F.lit(False)).alias("ok")), "file_id")
+    return found.join(checked.select("file_id", "n_bytes", "blocks", F.coalesce(good, F.lit(False)).alias("ok")), "file_id")
 
 
 @query()
@@ -388,7 +391,7 @@ def pframe_savings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return families.savings(families.frames(entries))
 
 
-@query()
+@query("SELECT doc_id AS file_id, true AS ok FROM documents")
 def pack_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = _files(spark, sf_dir)
     least = _chunks(spark, sf_dir).groupBy("file_id").agg(F.min(chunking.guid()).alias("family"))
@@ -410,11 +413,14 @@ def lane_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def mosaic_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct chunks against the first chunks of the four smallest documents: single, pair, mosaic or fresh."""
-    rows = _chunks(spark, sf_dir)
-    first = rows.where("chunk_idx = 0").select("file_id", "chunk").orderBy("file_id").limit(4).agg(F.collect_list("chunk").alias("candidates"))
-    distinct = rows.select(chunking.guid().alias("q_id"), "chunk").dropDuplicates(["q_id"])
-    return mosaic.choose(distinct.join(F.broadcast(first))).groupBy("kind").agg(F.count("*").alias("n_chunks"), F.sum("n_diff").alias("n_diff"))
+    """Every distinct chunk against its ten most similar others: single, pair, mosaic or fresh."""
+    distinct = _chunks(spark, sf_dir).select(chunking.guid().alias("q_id"), "chunk").dropDuplicates(["q_id"])
+    held = materialised(distinct.withColumn("vec", udfs.lsh_vector("chunk")), "mosaic-chunks")
+    hits = similarity.probe_join(held.select("q_id", "vec"), held.select(F.col("q_id").alias("s_id"), "vec"), store.THRESHOLD, 12).where("q_id != s_id")
+    near = similarity.top_k(hits, store.K).join(held.select(F.col("q_id").alias("s_id"), F.col("chunk").alias("cand")), "s_id")
+    candidates = near.groupBy("q_id").agg(F.array_sort(F.collect_list(F.struct("rnk", "cand"))).alias("c")).select("q_id", F.transform("c", lambda x: x.cand).alias("candidates"))
+    rows = held.select("q_id", "chunk").join(candidates, "q_id", "left").withColumn("candidates", F.coalesce("candidates", F.array().cast("array<binary>")))
+    return mosaic.choose(rows).groupBy("kind").agg(F.count("*").alias("n_chunks"), F.sum("n_diff").alias("n_diff"))
 
 
 # Placement.
@@ -425,13 +431,13 @@ def _agents(spark: SparkSession, sf_dir: str) -> list[str]:
     return [f"agent-{r.n_nationkey}" for r in table(spark, sf_dir, "nation").select("n_nationkey").collect()]
 
 
-@query()
+@query(lambda: late.ring_placement())
 def ring_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "supplier").select("s_suppkey", F.concat(F.lit("key-"), F.col("s_suppkey").cast("string")).alias("key"))
     return rows.select("s_suppkey", placement.replicas("key", _agents(spark, sf_dir)).alias("agents"))
 
 
-@query()
+@query(lambda: late.rendezvous_owner())
 def rendezvous_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "supplier").select("s_suppkey", similarity.routing_key("s_suppkey").alias("key"))
     return rows.select("s_suppkey", placement.rendezvous("key", _agents(spark, sf_dir)).alias("agent"))
@@ -537,12 +543,12 @@ def stage_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telemetry.tumbling(_stages(spark, sf_dir)).withColumn("total", F.round("total", 4))
 
 
-@query()
+@query(lambda: late.stage_rolling())
 def stage_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telemetry.rolling(_stages(spark, sf_dir), size="1 day", slide="6 hours")
 
 
-@query()
+@query(lambda: late.circuit_breaker())
 def circuit_breaker(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("agent"), "ts", (F.col("value") >= 50).alias("ok"))
     return telemetry.breaker(rows).groupBy("agent", "state").agg(F.count("*").alias("n"), F.count_if("admitted").alias("admitted"))
@@ -564,4 +570,4 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     _all()
-    return dict(_SQL)
+    return {k: v if isinstance(v, str) else v() for k, v in _SQL.items()}

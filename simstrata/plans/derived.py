@@ -9,40 +9,18 @@ from pyspark.sql import functions as F
 
 from simstrata.functions import kernels, scalars, udfs
 from simstrata.operators import chunking, families, prepass
+from simstrata.plans import late
 from simstrata.plans.catalogue import CHUNKS_SQL, SIZE, _chunks, _files, query, table
 from simstrata.streaming import telemetry
 
 # Scalar functions.
 
-_MASK = 18446744073709551616
-
-
-def murmur_sql(key: str, seed: int = kernels.MURMUR_SEED) -> str:
-    """The published 32-bit hash of an ASCII text in DuckDB's arithmetic."""
-    m = "4294967296"
-    rot = lambda x, r: f"((({x}) << {r}) % {m} + (({x}) >> {32 - r}))"
-    byte = lambda i: f"(CASE WHEN {i} < length({key}) THEN ascii(substr({key}, CAST({i} + 1 AS BIGINT), 1)) ELSE 0 END)::UBIGINT"
-    word = lambda i: " + ".join(f"{byte(f'({i} * 4 + {k})')} * {1 << 8 * k}" for k in range(4))
-    mixed = lambda i: f"({rot(f'(({word(i)}) * 3432918353) % {m}', 15)} * 461845907) % {m}"
-    blocks = f"list_reduce(list_transform(range(0, length({key}) // 4), lambda i: {mixed('i')}), lambda h, k: ({rot('xor(h, k)', 13)} * 5 + 3864292196) % {m}, {seed}::UBIGINT)"
-    tail = f"xor(xor({blocks}, {mixed(f'(length({key}) // 4)')}), length({key})::UBIGINT)"  # without a tail the mixed word is 0
-    step = lambda h, s, f: f"(xor({h}, ({h}) >> {s}) * {f}) % {m}"
-    return f"list_transform([list_transform([list_transform([{tail}], lambda h: {step('h', 16, 2246822507)})[1]], lambda h: {step('h', 13, 3266489909)})[1]], lambda h: xor(h, h >> 16))[1]"
-
-
-def mix_sql(x: str) -> str:
-    """The splitmix64 step of an unsigned 64-bit value."""
-    times = lambda h, f: f"(({h})::UHUGEINT * {f}::UHUGEINT % {_MASK}::UHUGEINT)::UBIGINT"
-    first = f"(({x})::UHUGEINT + {kernels.MIX_ADD}::UHUGEINT) % {_MASK}::UHUGEINT"
-    return f"list_transform([list_transform([list_transform([({first})::UBIGINT], lambda h: {times('xor(h, h >> 30)', kernels.MIX_1)})[1]], lambda h: {times('xor(h, h >> 27)', kernels.MIX_2)})[1]], lambda h: xor(h, h >> 31))[1]"
-
-
-@query(f"SELECT c_custkey, CAST({murmur_sql('c_name')} AS BIGINT) AS hash FROM customer")
+@query(f"SELECT c_custkey, CAST({late.murmur('c_name')} AS BIGINT) AS hash FROM customer")
 def murmur_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", udfs.murmur3_32("c_name").alias("hash"))
 
 
-@query(f"SELECT o_orderkey, lpad(lower(printf('%x', {mix_sql('o_orderkey')})), 16, '0') AS mixed FROM orders")
+@query(f"SELECT o_orderkey, lpad(lower(printf('%x', {late.mix('o_orderkey')})), 16, '0') AS mixed FROM orders")
 def mix_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", F.lpad(F.lower(F.hex(udfs.mix64("o_orderkey"))), 16, "0").alias("mixed"))
 
