@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from simstrata.functions import kernels, scalars, udfs
-from simstrata.operators import chunking, families, prepass
+from simstrata.operators import chunking, families, legacy, prepass
 from simstrata.plans import late
 from simstrata.plans.catalogue import CHUNKS_SQL, SIZE, _chunks, _files, query, table
 from simstrata.streaming import telemetry
@@ -262,3 +262,15 @@ def ring_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     before = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("agent"))
     after = table(spark, sf_dir, "supplier").where("s_acctbal > 5000").select(F.col("s_nationkey").alias("agent"))
     return telemetry.membership_changes(before, after, "agent")
+
+
+# Blobs of version 5.6.
+
+
+@query("SELECT doc_id AS file_id, octet_length(encode(coalesce(text, ''))) AS n_bytes, true AS ok FROM documents")
+def legacy_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a blob of version 5.6, with references, pairs and mosaics, and back again."""
+    files = _files(spark, sf_dir)
+    blobs, held = legacy.compress(files, SIZE)
+    back = legacy.decompress(blobs, held, SIZE).join(files.select("file_id", F.col("bytes").alias("want")), "file_id")
+    return back.select("file_id", F.length("bytes").cast("long").alias("n_bytes"), (F.col("ok") & (F.col("bytes") == F.col("want"))).alias("ok"))
