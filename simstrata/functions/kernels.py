@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import numpy as np
 
-_M32 = 0xFFFFFFFF
-
 # The seed of the ring's hash, those of the two projections, and the finaliser's multipliers.
 MURMUR_SEED = 0x9747B28C
 CHUNK_SEED, LANE_SEED = 42, 43
@@ -74,21 +72,27 @@ def lane_hashes(chunk: bytes, lanes: int = LANES, bits: int = LANE_BITS, seed: i
     return out
 
 
+def murmur3_many(keys: list[bytes], seed: int = MURMUR_SEED) -> np.ndarray:
+    """MurmurHash3 x86 32 bit of each key, by the published algorithm; keys of one length are hashed together."""
+    turn = lambda x, n: x << np.uint32(n) | x >> np.uint32(32 - n)
+    mixed = lambda k: turn(k * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593)
+    out, lengths = np.zeros(len(keys), np.int64), np.array([len(k) for k in keys])
+    for n in np.unique(lengths).tolist():
+        at = np.flatnonzero(lengths == n)
+        data = np.frombuffer(b"".join(keys[i] for i in at), np.uint8).reshape(len(at), n).astype(np.uint32)
+        h = np.full(len(at), seed, np.uint32)
+        word = lambda lo, size: sum((data[:, lo + j] << np.uint32(8 * j) for j in range(size)), np.zeros(len(at), np.uint32))  # noqa: B023, E731
+        for lo in range(0, n - 3, 4):
+            h = turn(h ^ mixed(word(lo, 4)), 13) * np.uint32(5) + np.uint32(0xE6546B64)
+        h = h ^ mixed(word(n // 4 * 4, n % 4)) ^ np.uint32(n)  # without a tail the mixed word is 0
+        h = (h ^ h >> np.uint32(16)) * np.uint32(0x85EBCA6B)
+        h = (h ^ h >> np.uint32(13)) * np.uint32(0xC2B2AE35)
+        out[at] = h ^ h >> np.uint32(16)
+    return out
+
+
 def murmur3_32(data: bytes, seed: int = MURMUR_SEED) -> int:
-    """MurmurHash3 x86 32 bit, by the published algorithm."""
-    h, blocks = seed, len(data) // 4 * 4
-    words = [*np.frombuffer(data[:blocks], "<u4").tolist()]
-    tail = int.from_bytes(data[blocks:], "little")
-    for k in words + [tail] * (blocks < len(data)):
-        k = k * 0xCC9E2D51 & _M32
-        h ^= (k << 15 | k >> 17) * 0x1B873593 & _M32
-        if words:
-            words.pop()
-            h = ((h << 13 | h >> 19) & _M32) * 5 + 0xE6546B64 & _M32
-    h ^= len(data)
-    for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
-        h = (h ^ h >> shift) * factor & _M32
-    return h ^ h >> 16
+    return int(murmur3_many([data], seed)[0])
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

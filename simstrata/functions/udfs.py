@@ -69,7 +69,8 @@ def apply_diff(base: pd.Series, offsets: pd.Series, deltas: pd.Series) -> pd.Ser
 
 @F.pandas_udf(T.LongType())
 def murmur3_32(key: pd.Series) -> pd.Series:
-    return _series([None if x is None else kernels.murmur3_32(x.encode()) for x in key], "Int64")
+    there = key.notna()
+    return _series(kernels.murmur3_many([x.encode() for x in key[there]]).tolist(), "Int64").set_axis(key.index[there]).reindex(key.index)
 
 
 @F.pandas_udf(T.LongType())

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from simstrata.functions.kernels import murmur3_32
+from simstrata.functions.kernels import murmur3_many
 
 VNODES, REPLICAS, ACKS = 256, 3, 2
 #: Agents whose ring may be held by every task; beyond that ``ring_of`` raises.
@@ -21,7 +21,8 @@ def ring_of(agents: list[str], vnodes: int = VNODES) -> tuple[np.ndarray, list[s
     names = sorted(set(agents))
     if len(names) > MAX_AGENTS:
         raise ValueError(f"{len(names)} agents; the ring is held by every task and is bounded to {MAX_AGENTS}")
-    spots = sorted((murmur3_32(f"{a}#{i}".encode()), a) for a in names for i in range(vnodes))
+    places = [(a, i) for a in names for i in range(vnodes)]
+    spots = sorted(zip(murmur3_many([f"{a}#{i}".encode() for a, i in places]).tolist(), (a for a, _ in places), strict=True))
     return np.array([h for h, _ in spots], np.int64), [a for _, a in spots]
 
 
@@ -32,16 +33,20 @@ def replicas(key: str | Column, agents: list[str], n: int = REPLICAS, vnodes: in
 
     @F.pandas_udf("array<string>")
     def clockwise(keys: pd.Series) -> pd.Series:
-        out = []
-        for k in keys:
-            at, found = int(np.searchsorted(hashes, murmur3_32(str(k).encode()))), []
-            while len(found) < want:
-                a = owner[at % size]
-                if a not in found:
-                    found.append(a)
-                at += 1
-            out.append(found)
-        return pd.Series(out, dtype=object)
+        known: dict[int, list[str]] = {}  # by the first place: keys that fall on one place have the same replicas
+
+        def from_place(at: int) -> list[str]:
+            if at not in known:
+                found, k = [], at
+                while len(found) < want:
+                    if owner[k % size] not in found:
+                        found.append(owner[k % size])
+                    k += 1
+                known[at] = found
+            return known[at]
+
+        first = np.searchsorted(hashes, murmur3_many([str(k).encode() for k in keys]))
+        return pd.Series([from_place(at) for at in first.tolist()], dtype=object)
 
     return clockwise(F.col(key) if isinstance(key, str) else key)
 
@@ -54,7 +59,11 @@ def rendezvous(bucket: str | Column, nodes: list[str]) -> Column:
 
     @F.pandas_udf("string")
     def owner(buckets: pd.Series) -> pd.Series:
-        return pd.Series([max(names, key=lambda n: murmur3_32(f"{b}|{n}".encode())) if names else None for b in buckets], dtype=object)
+        best, at = np.full(len(buckets), -1), np.full(len(buckets), -1)
+        for i, n in enumerate(names):
+            h = murmur3_many([f"{b}|{n}".encode() for b in buckets])
+            best, at = np.maximum(best, h), np.where(h > best, i, at)
+        return pd.Series([names[i] if i >= 0 else None for i in at.tolist()], dtype=object)
 
     return owner(F.col(bucket) if isinstance(bucket, str) else bucket)
 
