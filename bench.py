@@ -15,6 +15,7 @@ os.environ["PYTHONPATH"] = f"{ROOT}:{os.environ.get('PYTHONPATH', '')}"
 QUERIES = (
     "chunk_dedup_by_lang", "dup_owner_first_seen", "cross_doc_chunk_refs", "chunk_entropy_gate", "lsh_bucket_chunks", "multi_probe_join", "sim_topk",
     "diff_runs", "family_scattered", "ccf_roundtrip", "ring_placement", "quorum_status", "stage_percentiles", "topology_version",
+    "legacy_roundtrip", "prepass_statistics", "pframe_savings",
 )
 
 

@@ -67,6 +67,46 @@ class Engine:
         entries = blobs.join(named, "file_id", "left").withColumn("family", F.coalesce("family", F.concat(F.lit("exact:"), F.col("file_id"))))
         return families.frames(entries)
 
+    def delete(self, ids: DataFrame) -> None:
+        """Remove the files of ``ids`` (file_id). What stays is written anew and then takes the old runs' place; a journal
+        makes that safe against a crash at any point: ``recover`` finishes it, or leaves everything as it was."""
+        self.recover()
+        old, run = self._names("blobs"), uuid.uuid4().hex
+        self.blobs().join(ids, "file_id", "left_anti").write.parquet(f"{self.root}/work/{run}")
+        out = self._fs().create(self._path(f"work/{run}.journal"), True)
+        out.write(bytearray("\n".join([run, *old]).encode()))
+        out.close()
+        self._fs().rename(self._path(f"work/{run}.journal"), self._path("work/journal"))
+        self._finish()
+
+    def recover(self) -> bool:
+        """Finish what the journal says; without one, drop what a broken ``delete`` has begun. True if there was one."""
+        found = self._fs().exists(self._path("work/journal"))
+        if found:
+            self._finish()
+        self._fs().delete(self._path("work"), True)
+        return found
+
+    def _finish(self) -> None:
+        """Each step may have been done already."""
+        fs, path = self._fs(), f"{self.root}/work/journal"
+        run, *old = [r.value for r in self.spark.read.text(path).collect()]
+        if fs.exists(self._path(f"work/{run}")):
+            fs.rename(self._path(f"work/{run}"), self._path(f"blobs/{run}"))
+        for name in old:
+            fs.delete(self._path(f"blobs/{name}"), True)
+        fs.delete(self._path("work/journal"), False)
+
+    def _path(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+
+    def _fs(self):
+        return self._path("").getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _names(self, name: str) -> list[str]:
+        path = self._path(name)
+        return [s.getPath().getName() for s in self._fs().listStatus(path)] if self._fs().exists(path) else []
+
     def clear(self) -> int:
         """Remove everything; the number of bytes freed."""
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
@@ -77,10 +117,13 @@ class Engine:
 
 
 def ingest(spark: SparkSession, path: str, declared: DataFrame | None = None) -> DataFrame:
-    """(path, length, bytes, sha256) of files below ``path``; ``declared`` (path, sha256) drops those that differ."""
+    """(path, length, bytes, sha256) of files below ``path``; ``declared`` (path, sha256, and length if it has one) drops
+    those that differ."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     rows = found.select("path", "length", F.col("content").alias("bytes"), F.sha2("content", 256).alias("sha256"))
-    return rows if declared is None else rows.join(declared, ["path", "sha256"], "left_semi")
+    if declared is None:
+        return rows
+    return rows.join(declared, [c for c in ("path", "sha256", "length") if c in declared.columns], "left_semi")
 
 
 def listing(spark: SparkSession, path: str, most: int = 64 << 20) -> DataFrame:

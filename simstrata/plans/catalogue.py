@@ -114,9 +114,10 @@ def chunk_byte_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {CHUNKS_SQL}, o AS (SELECT guid, min(doc_id) AS owner FROM g GROUP BY guid)
 SELECT doc_id AS file_id, count(*) AS n_chunks, count(*) FILTER (owner <> doc_id) AS cross_refs, count(DISTINCT guid) AS n_unique FROM g JOIN o USING (guid) GROUP BY doc_id""")
 def cross_doc_chunk_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # One row per guid and file first, so a chunk that very many files share joins as few rows.
-    per = _chunks(spark, sf_dir).groupBy(chunking.guid().alias("guid"), "file_id").agg(F.count("*").alias("n"))
-    owner = per.groupBy("guid").agg(F.min("file_id").alias("owner"))
+    # One row per guid and file first. Both sides of the join are plain tables, so adaptive execution splits the rows of a
+    # chunk that very many files share.
+    per = materialised(_chunks(spark, sf_dir).groupBy(chunking.guid().alias("guid"), "file_id").agg(F.count("*").alias("n")), "chunk-files")
+    owner = materialised(per.groupBy("guid").agg(F.min("file_id").alias("owner")), "chunk-owners")
     return per.join(owner, "guid").groupBy("file_id").agg(
         F.sum("n").alias("n_chunks"), F.sum(F.when(F.col("owner") != F.col("file_id"), F.col("n")).otherwise(0)).alias("cross_refs"), F.count("*").alias("n_unique"))
 
@@ -132,8 +133,10 @@ def hash_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH d AS (SELECT text, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY text)
 SELECT doc_id, copies, sha256(encode(coalesce(text, ''))) AS guid FROM d""")
 def distinct_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("doc_id", "text").groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
-    return rows.select("doc_id", "copies", F.sha2(F.coalesce(F.encode("text", "UTF-8"), F.lit(b"")), 256).alias("guid"))
+    # Addresses are shuffled, not texts; null isn't the empty text.
+    guid = F.sha2(F.coalesce(F.encode("text", "UTF-8"), F.lit(b"")), 256)
+    rows = table(spark, sf_dir, "documents").select("doc_id", guid.alias("guid"), F.col("text").isNull().alias("none"))
+    return rows.groupBy("guid", "none").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).select("doc_id", "copies", "guid")
 
 
 # Signatures and the similarity join.

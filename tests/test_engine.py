@@ -133,3 +133,51 @@ def test_ingest(spark, tmp_path):
 def test_windows_of_an_empty_file(spark):
     df = spark.createDataFrame([(1, bytearray(b""))], "file_id int, bytes binary")
     assert [(r.block_idx, bytes(r.block)) for r in chunking.windows(df, 8).collect()] == [(0, b"")]
+
+
+def test_delete_survives_crashes(spark, tmp_path, monkeypatch):
+    from simstrata.engine import Engine
+
+    files = spark.createDataFrame([(i, bytes([i]) * 100 + bytes(range(200))) for i in range(6)], "file_id long, bytes binary")
+    engine = Engine(spark, f"file://{tmp_path}/s", 64)
+    engine.compress(files.where("file_id < 3"))
+    engine.compress(files.where("file_id >= 3"))
+    held = lambda: sorted(r.file_id for r in Engine(spark, f"file://{tmp_path}/s", 64).blobs().collect())
+    gone = lambda *ids: spark.createDataFrame([(i,) for i in ids], "file_id long")
+    engine.delete(gone(1, 99))
+    assert held() == [0, 2, 3, 4, 5] and not engine.recover()
+
+    def crash(*_):
+        raise RuntimeError("crash")
+
+    with monkeypatch.context() as m:  # after the journal: recovery finishes the deletion
+        m.setattr(Engine, "_finish", crash)
+        with pytest.raises(RuntimeError):
+            engine.delete(gone(2))
+    assert held() == [0, 2, 3, 4, 5]
+    assert engine.recover() and held() == [0, 3, 4, 5] and not engine.recover()
+    finish, fs = Engine._finish, engine._fs()
+    with monkeypatch.context() as m:  # half way: the new run is in place, the old ones aren't gone
+        m.setattr(Engine, "_finish", crash)
+        with pytest.raises(RuntimeError):
+            engine.delete(gone(3))
+    run = [r.value for r in spark.read.text(f"file://{tmp_path}/s/work/journal").collect()][0]
+    fs.rename(engine._path(f"work/{run}"), engine._path(f"blobs/{run}"))
+    finish(engine)
+    assert held() == [0, 4, 5]
+    spark.range(1).write.parquet(f"file://{tmp_path}/s/work/stray")  # before the journal: nothing has happened
+    assert not engine.recover() and held() == [0, 4, 5] and engine.get(4) == bytes([4]) * 100 + bytes(range(200))
+
+
+def test_ingest_checks_sizes(spark, tmp_path):
+    import hashlib
+
+    from simstrata.engine import ingest
+
+    (tmp_path / "a").write_bytes(b"abc")
+    (tmp_path / "b").write_bytes(b"xyz")
+    found = {r.path: r for r in ingest(spark, f"file://{tmp_path}").collect()}
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    declared = [(p, r.sha256, 3 if p.endswith("a") else 4) for p, r in found.items()]
+    kept = ingest(spark, f"file://{tmp_path}", spark.createDataFrame(declared, "path string, sha256 string, length long")).collect()
+    assert [bytes(r.bytes) for r in kept] == [b"abc"] and kept[0].sha256 == sha(b"abc")
