@@ -7,9 +7,11 @@ import hashlib
 import itertools
 import math
 import random
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -316,6 +318,63 @@ def test_packed_hashes():
     assert neardup.from_small_ints(neardup.small_ints(n), len(n)).tolist() == n.tolist()
 
 
+
+class _Functions(list):
+    """Stands for a table; keeps the functions that it is to be mapped with."""
+
+    def select(self, *columns):
+        return self
+
+    groupBy = select
+
+    def mapInArrow(self, f, schema):
+        self.append(f)
+        return self
+
+    applyInArrow = mapInArrow
+
+
+def test_shingles_are_counted_in_little_memory():
+    """A task holds its hashes, but no further arrays of their length."""
+    r, functions = np.random.default_rng(5), _Functions()
+    common = r.integers(1 << 40, 1 << 41, 30_000).astype(np.uint64)
+    sets = [np.unique(np.r_[common[:: k % 3 + 1], r.integers(1 << 40, 1 << 41, 40_000).astype(np.uint64)]) for k in range(30)]
+    n = [r.choice([1, 1, 1, 2, 300], len(x)) for x in sets]
+    neardup._frequencies(functions, 1)
+    lots = pa.table({"part": [0] * 30, "lot": list(range(30)), "hashes": [neardup.packed(x) for x in sets], "n": [neardup.small_ints(x) for x in n]})
+    tracemalloc.start()
+    got = functions[1](lots).sort_by("lot").to_pylist()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    flat, place = np.unique(np.concatenate(sets), return_inverse=True)
+    total = np.bincount(place, np.concatenate(n)).astype(np.int64)
+    for row, x in zip(got, sets, strict=True):
+        want = total[np.searchsorted(flat, x)]
+        held = np.unpackbits(np.frombuffer(row["held"], np.uint8), count=len(x)).astype(bool)
+        assert (held == (want > 1)).all()
+        assert (neardup.from_small_ints(row["n"], int(held.sum())) == want[held]).all()
+    assert peak < 40 * sum(map(len, sets))
+
+
+def test_lots_reach_python_in_small_batches(spark, monkeypatch):
+    sizes, plain, name = [], neardup._frequencies, "spark.sql.execution.arrow.maxBytesPerBatch"
+
+    def measured(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"])
+
+    def frequencies(lots, parts):
+        sizes.extend(r.n for r in lots.mapInArrow(measured, "n long").collect())
+        return plain(lots, parts)
+
+    monkeypatch.setattr(neardup, "_frequencies", frequencies)
+    before = spark.conf.get(name)
+    texts = [(i, " ".join(f"{i}x{k}" for k in range(120_000)), "s", None) for i in range(12)]
+    assert neardup.classes(documents(spark, texts).coalesce(1), lot_bytes=1 << 19).count() == 12
+    assert sum(sizes) > 10 << 20 and max(sizes) < 6 << 20
+    assert spark.conf.get(name) == before
+
+
 # 6
 
 
