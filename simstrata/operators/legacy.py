@@ -70,7 +70,8 @@ def compress(files: DataFrame, size: int, limit: float = 0.40) -> tuple[DataFram
             chunk = pa.struct([("bucket_id", pa.int64()), ("chunk_id", pa.int64()), ("chunk", pa.binary())])
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([0] * len(ids), pa.int32()), pa.array(blobs, pa.binary()), pa.array(kept, pa.list_(chunk))], ["file_id", "block_idx", "blob", "stored"])
 
-    made = files.select("file_id", "bytes").mapInArrow(work, "file_id long, block_idx int, blob binary, stored array<struct<bucket_id:long,chunk_id:long,chunk:binary>>")
+    # Few large input files would be few tasks of much work.
+    made = files.select("file_id", "bytes").repartition("file_id").mapInArrow(work, "file_id long, block_idx int, blob binary, stored array<struct<bucket_id:long,chunk_id:long,chunk:binary>>")
     made = materialised(made, "legacy")
     return made.select("file_id", "block_idx", "blob"), made.select(F.explode("stored").alias("s")).select("s.*")
 
