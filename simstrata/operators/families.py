@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from simstrata.functions import udfs
 from simstrata.sources import ccf
 from simstrata.sources.shared import materialised
 
 I_FRAME, P_FRAME, KEEP_BELOW, MIN_FAMILY = 0, 1, 0.85, 3
+#: Bytes of frames that a task holds before it hands them on.
+FRAME_BYTES = 4 << 20
 
 
 def exact_families(files: DataFrame, refs: str = "refs") -> DataFrame:
@@ -77,19 +84,29 @@ def frames(entries: DataFrame, keep_below: float = KEEP_BELOW) -> DataFrame:
     base = entries.groupBy("family").agg(F.min_by(F.struct("file_id", F.col("blob").alias("base")), F.struct(-F.length("blob"), F.col("file_id"))).alias("b"))
     paired = entries.join(base, "family").select("file_id", "family", "blob", F.col("b.file_id").alias("base_id"), "b.base")
 
-    def build(batches):
-        for pdf in batches:
-            out = []
-            for r in pdf.itertuples():
-                data, is_p = bytes(r.blob), False
-                if r.file_id != r.base_id:
-                    p = ccf.p_frame(data, bytes(r.base))
-                    if len(p) < keep_below * len(data) and ccf.from_p_frame(p, bytes(r.base)) == data:
+    schema = f"file_id {kind}, family string, frame_type int, base_id {kind}, data binary, raw_len long"
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, size = [], 0
+        made = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), arrow.types, strict=True)], schema=arrow)
+        for batch in batches:
+            for row in range(batch.num_rows):  # a row's bytes at a time, and a few MB of answers
+                file_id, family, blob, base_id, base = (c[row].as_py() for c in batch.columns)
+                data, is_p = blob, False
+                if file_id != base_id:
+                    p = ccf.p_frame(blob, base)
+                    if len(p) < keep_below * len(blob) and ccf.from_p_frame(p, base) == blob:
                         data, is_p = p, True
-                out.append((r.file_id, r.family, P_FRAME if is_p else I_FRAME, r.base_id if is_p else None, data, len(r.blob)))
-            yield pd.DataFrame(out, columns=["file_id", "family", "frame_type", "base_id", "data", "raw_len"]).astype({"base_id": "Int64"} if kind in ("bigint", "int") else {})
-
-    return paired.mapInPandas(build, f"file_id {kind}, family string, frame_type int, base_id {kind}, data binary, raw_len long")
+                out.append((file_id, family, P_FRAME if is_p else I_FRAME, base_id if is_p else None, data, len(blob)))
+                size += len(data)
+                if len(out) == 1000 or size > FRAME_BYTES:
+                    yield made()
+                    out, size = [], 0
+        if out:
+            yield made()
+
+    return paired.mapInArrow(build, schema)
 
 
 def unframed(packed: DataFrame, ids: DataFrame | None = None) -> DataFrame:
